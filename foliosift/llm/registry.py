@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliosift.llm.decontaminate import op2_decontamination
 from foliosift.llm.packing import op5_packing
+from foliosift.llm.secrets import op1_secrets
+from foliosift.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

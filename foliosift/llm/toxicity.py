@@ -2,10 +2,11 @@
 
 The labelled rows of the learning folds give at most ``examples`` examples, toxic
 and other ones as near to half each as there are, in the order of a hash: this is
-the one bounded sample. Their words whose use differs between the classes (G-test
-above ``least_g``, at most ``terms`` of them) are the index's terms. Document
+the one bounded sample. Those terms whose use differs between the classes (G-test
+above ``least_g``, at most ``terms`` of them) are the index's. Document
 frequencies count all documents. An example's weight is its class's share of the
-labelled rows over its share of the examples.
+labelled rows over its share of the examples. Terms are words, stems (the first 3 to 8
+characters of longer words) and either of them used at least 2, 3 or 5 times.
 
 Index: examples with like terms lie side by side in blocks; for each term and block
 the largest weight is kept. A query's bound for a block is the sum over its terms;
@@ -23,7 +24,9 @@ labels are not used; repeated rows each get the score; with no labels every scor
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ VECTORS = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", EVIDENCE)])
 BLOCK = 64
+STEMS, REPEATS = (3, 8), (2, 3, 5)
 
 
 def learns(id_column: str = "doc_id") -> Column:
@@ -49,27 +53,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(LETTERS).split()
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def features(word: bytes) -> list[str]:
+    """A word and its stems: what starts with its first 3 to 8 characters."""
+    text = word.decode("utf-8", "replace")
+    return [text, *(text[:n] + "*" for n in range(STEMS[0], min(STEMS[1], len(text) - 1) + 1))]
+
+
+def grades(name: str, count: int) -> list[str]:
+    """A feature, and again for each number of uses in REPEATS that the text reaches: a
+    cosine alone can't tell one use from many."""
+    return [name, *(f"{name}@{n}" for n in REPEATS if count >= n)]
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels, words = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {w.decode("utf-8", "replace") for w in words_of(text)}
-            labels += [label] * len(own)
-            words += own
-        yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(words, pa.string())], names=["label", "word"])
+            counts = Counter(f for w, n in Counter(words_of(text)).items() for f in features(w) for _ in range(min(n, REPEATS[-1])))
+            own = [g for f, n in counts.items() for g in grades(f, n)]
+            yield pa.record_batch([pa.array([label] * len(own), pa.int32()), pa.array(own, pa.string())], names=["label", "word"])
+
 
+def _vectorize(vocabulary: dict[str, int]) -> Callable:
+    """Counts of the vocabulary's terms. A worker remembers the features of words it has seen."""
+    bases = {t.partition("@")[0]: i for i, t in enumerate(vocabulary)}
+    names = list(bases)
+    bases = {t: i for i, t in enumerate(names)}
 
-def _vectorize(vocabulary: dict[bytes, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(1):
-                found: dict[int, int] = {}
-                for t in map(vocabulary.get, words_of(text.as_py())):
-                    if t is not None:
-                        found[t] = found.get(t, 0) + 1
-                terms.append(sorted(found))
-                counts.append([found[t] for t in terms[-1]])
+                words = words_of(text.as_py())
+                if len(known) > 500_000:
+                    known.clear()
+                for w in {*words} - known.keys():
+                    known[w] = tuple(i for f in features(w) if (i := bases.get(f)) is not None)
+                found = Counter(chain.from_iterable(map(known.__getitem__, words)))
+                own = {vocabulary[g]: n for i, n in found.items() for g in grades(names[i], n) if g in vocabulary}
+                terms.append(sorted(own))
+                counts.append([own[t] for t in terms[-1]])
             yield pa.record_batch([batch.column(0), pa.array(terms, VECTORS.types[1]), pa.array(counts, VECTORS.types[2])], schema=VECTORS)
 
     return run
@@ -197,14 +220,14 @@ def score(
     texts = cut(corpus.join(chosen, "doc_id"), "examples")
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     a, b = (n.get(1, 0) or 1), (n.get(0, 0) or 1)
-    used = texts.select("label", "text").mapInArrow(_word_rows, "label int, word string").groupBy("word").agg(
+    used = texts.select("label", "text").mapInArrow(_term_rows, "label int, word string").groupBy("word").agg(
         F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")
     )
     part_g = lambda seen, rate: f"if({seen} > 0, {seen} * ln({seen} / {rate}), 0D)"
     rate, rest = f"((t + c) / {a + b}D)", f"(1 - (t + c) / {a + b}D)"
     g = f"2 * ({part_g('t', f'({a} * {rate})')} + {part_g('c', f'({b} * {rate})')} + {part_g(f'({a} - t)', f'({a} * {rest})')} + {part_g(f'({b} - c)', f'({b} * {rest})')})"
     top = used.withColumn("g", F.expr(g)).where(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(terms).collect()
-    vocabulary = {r["word"].encode(): i for i, r in enumerate(sorted(top, key=lambda r: r["word"]))}
+    vocabulary = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: r["word"]))}
     to_vectors, kind = _vectorize(vocabulary), "doc_id long, terms array<int>, counts array<int>"
     vectors = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_vectors, kind), "vectors")
     df_rows = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()

@@ -1,19 +1,63 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again.
+
+Toxic documents go, one document of each near-duplicate group stays (the one with
+the least id), documents that hold a benchmark item go, secrets are masked, and what
+is left is packed into sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliosift.llm.common import cut, table
+from foliosift.llm.decontaminate import overlaps
+from foliosift.llm.nearset import near_duplicates
 from foliosift.llm.packing import pack, tokenizer_path
+from foliosift.llm.secrets import redact
+from foliosift.llm.toxicity import toxicity_of
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or more go."""
+    return _without(docs, toxicity_of(spark, docs, sf_dir).where("score >= 0.3"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the least id stays; rows without an id stay."""
+    found = near_duplicates(docs)
+    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return _without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; no document goes."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens; the last stage, so its rows are pieces with their ids."""
+    """The last stage: one row per piece of a sequence, with its ids."""
     return pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("packing", packing),
+]
 
 #: The tokenizer's ids can't be had in SQL; tests/llm hold the stages against plain Python.
 ORACLE_SQL = None

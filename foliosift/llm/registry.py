@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliosift.llm.decontaminate import op2_decontamination
+from foliosift.llm.nearset import op10_near_duplicates
 from foliosift.llm.packing import op5_packing
 from foliosift.llm.secrets import op1_secrets
 from foliosift.llm.toxicity import op8_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}

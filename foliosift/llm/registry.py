@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliosift.llm.decontaminate import op2_decontamination
+from foliosift.llm import licenses, urlfilters
 from foliosift.llm.nearset import op10_near_duplicates
 from foliosift.llm.packing import op5_packing
+from foliosift.llm.resharding import op7_resharding
 from foliosift.llm.secrets import op1_secrets
 from foliosift.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": licenses.op3_licenses,
     "op5_packing": op5_packing,
+    "op7_resharding": op7_resharding,
     "op8_toxicity": op8_toxicity,
+    "op9_url_filters": urlfilters.op9_url_filters,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op9_url_filters": urlfilters.ORACLE}

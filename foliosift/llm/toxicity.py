@@ -87,7 +87,7 @@ def _vectorize(vocabulary: dict[str, int]) -> Callable:
                 words = words_of(text.as_py())
                 if len(known) > 500_000:
                     known.clear()
-                for w in {*words} - known.keys():
+                for w in {w for w in words if w not in known}:
                     known[w] = tuple(i for f in features(w) if (i := bases.get(f)) is not None)
                 found = Counter(chain.from_iterable(map(known.__getitem__, words)))
                 own = {vocabulary[g]: n for i, n in found.items() for g in grades(names[i], n) if g in vocabulary}

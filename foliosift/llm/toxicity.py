@@ -66,11 +66,24 @@ def grades(name: str, count: int) -> list[str]:
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Uses of each term by label, summed up per batch; the input is the bounded sample."""
+    known: dict[bytes, list[str]] = {}
     for batch in batches:
+        used: tuple[Counter, Counter] = (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = Counter(f for w, n in Counter(words_of(text)).items() for f in features(w) for _ in range(min(n, REPEATS[-1])))
-            own = [g for f, n in counts.items() for g in grades(f, n)]
-            yield pa.record_batch([pa.array([label] * len(own), pa.int32()), pa.array(own, pa.string())], names=["label", "word"])
+            counts: dict[str, int] = {}
+            for w, n in Counter(words_of(text)).items():
+                own = known.get(w)
+                if own is None:
+                    own = known[w] = features(w)
+                for f in own:
+                    counts[f] = counts.get(f, 0) + n
+            used[label].update(g for f, n in counts.items() for g in grades(f, n))
+            if len(known) > 200_000:
+                known.clear()
+        terms = list(used[0].keys() | used[1].keys())
+        t, c = ([u[term] for term in terms] for u in (used[1], used[0]))
+        yield pa.record_batch([pa.array(terms, pa.string()), pa.array(t, pa.int64()), pa.array(c, pa.int64())], names=["word", "t", "c"])
 
 
 def _vectorize(vocabulary: dict[str, int]) -> Callable:
@@ -220,9 +233,7 @@ def score(
     texts = cut(corpus.join(chosen, "doc_id"), "examples")
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     a, b = (n.get(1, 0) or 1), (n.get(0, 0) or 1)
-    used = texts.select("label", "text").mapInArrow(_term_rows, "label int, word string").groupBy("word").agg(
-        F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")
-    )
+    used = texts.select("label", "text").mapInArrow(_term_rows, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     part_g = lambda seen, rate: f"if({seen} > 0, {seen} * ln({seen} / {rate}), 0D)"
     rate, rest = f"((t + c) / {a + b}D)", f"(1 - (t + c) / {a + b}D)"
     g = f"2 * ({part_g('t', f'({a} * {rate})')} + {part_g('c', f'({b} * {rate})')} + {part_g(f'({a} - t)', f'({a} * {rest})')} + {part_g(f'({b} - c)', f'({b} * {rest})')})"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliosift.llm.decontaminate import op2_decontamination
 from foliosift.llm import licenses, urlfilters
+from foliosift.llm.imagecopies import op4_image_copies
+from foliosift.llm.language import op6_language
 from foliosift.llm.nearset import op10_near_duplicates
 from foliosift.llm.packing import op5_packing
 from foliosift.llm.resharding import op7_resharding
@@ -18,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
     "op3_licenses": licenses.op3_licenses,
+    "op4_image_copies": op4_image_copies,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_resharding": op7_resharding,
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": urlfilters.op9_url_filters,

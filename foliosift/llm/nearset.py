@@ -39,6 +39,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,17 +91,6 @@ def identity(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(v) for v in np.array([whole >> 64, whole & (2**64 - 1)], U).view(np.int64))
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = Shingler()
-    for batch in batches:
-        n, hi, lo = [], [], []
-        for text in batch.column(1):
-            tokens = shingle(text.as_py())
-            a, b = identity(tokens) if len(tokens) else (0, 0)
-            n.append(len(tokens)), hi.append(a), lo.append(b)
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "n", "hi", "lo"])
-
-
 class Bands:
     """Size bands [first, last]; differences and segments of each."""
 
@@ -134,6 +124,7 @@ class Keys:
         self.clear()
 
     def clear(self) -> None:
+        self.rows: list[tuple] = []  # doc_id, n, hi, lo of every document
         self.entries: list[tuple] = []  # arrays: hi, size, slack, band, native
         self.keys: list[tuple] = []  # arrays: key, entry, flag
         self.n_entries = self.n_keys = 0
@@ -192,14 +183,29 @@ class Keys:
         self.n_keys += len(keys)
         return np.where(allocated, 2, 0).astype(np.uint8)
 
-    def pack(self) -> pa.RecordBatch:
+    def pack(self, turn: int) -> pa.RecordBatch:
+        """One row per bucket with keys, and one, of a bucket by turns, with the documents' sets."""
+        names, blobs = [turn % self.buckets], [None]
+        ids = pa.array([r[0] for r in self.rows], pa.int64())
+        known = pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in (list(zip(*self.rows))[1:] or [[]] * 3))], names=["doc_id", "n", "hi", "lo"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, known.schema) as stream:
+            stream.write_batch(known)
+        if self.keys:
+            self._pack_keys(names, blobs)
+        self.clear()
+        return pa.record_batch(
+            [pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), pa.array([sink.getvalue().to_pybytes()] + [None] * (len(names) - 1), pa.binary())],
+            names=["bucket", "blob", "sets"],
+        )
+
+    def _pack_keys(self, names: list, blobs: list) -> None:
         hi, size, slack, band, native = (np.concatenate(c) for c in zip(*self.entries))
         key, entry, flag = (np.concatenate(c) for c in zip(*self.keys))
         bucket = ((key >> U(32)) * U(self.buckets) >> U(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         key, entry, flag, bucket = (key[order] & U(0xFFFFFFFF)).astype("<u4"), entry[order], flag[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        names, blobs = [], []
         for lo, up in zip([0, *cuts], [*cuts, len(key)]):
             used, local = np.unique(entry[lo:up], return_inverse=True)
             local = local.astype("<u2" if len(used) < 65536 else "<u4")
@@ -211,8 +217,6 @@ class Keys:
             ]
             names.append(int(bucket[lo]))
             blobs.append(b"".join(p.tobytes() for p in parts))
-        self.clear()
-        return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -237,11 +241,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 def _index(buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, keys, seen = Shingler(), Keys(buckets, Bands(most)), set()
-        sets, ids, held = [], [], 0
+        sets, ids, held, turn = [], [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            for text in batch.column(0):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = shingle(text.as_py())
-                if not len(tokens) or (own := identity(tokens)) in seen:
+                own = identity(tokens) if len(tokens) else (0, 0)
+                keys.rows.append((doc_id, len(tokens), *own))
+                if not len(tokens) or own in seen:
                     continue
                 if len(seen) > MEMORY:
                     seen.clear()
@@ -252,26 +258,28 @@ def _index(buckets: int, most: int) -> Callable:
                     keys.add(sets, np.array(ids, np.int64))
                     sets, ids, held = [], [], 0
                     if keys.n_keys > FLUSH:
-                        yield keys.pack()
+                        yield keys.pack(turn)
+                        turn += 1
         if sets:
             keys.add(sets, np.array(ids, np.int64))
-        if keys.n_keys:
-            yield keys.pack()
+        yield keys.pack(turn)
 
     return run
 
 
 FOUND = pa.schema(
-    [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64()), ("subset", pa.int64()), ("slack", pa.int32()), ("band", pa.int32()), ("native", pa.bool_()), ("size", pa.int64())]
+    [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64()), ("subset", pa.int64()), ("slack", pa.int32()), ("other", pa.int32()), ("band", pa.int32()), ("native", pa.bool_()), ("size", pa.int64())]
 )
-FOUND_SQL = "kind int, a long, b long, votes long, subset long, slack int, band int, native boolean, size long"
+FOUND_SQL = "kind int, a long, b long, votes long, subset long, slack int, other int, band int, native boolean, size long"
 
 
 def _match(key: tuple, rows: pa.Table) -> pa.Table:
     """Pairs (kind 0), pairs with a representative (1) and members of large subsets (2) of a bucket."""
-    parts = []
-    for blob in rows.column("blob").to_pylist():
-        parts.append(unpack(blob))
+    parts = [unpack(blob) for blob in rows.column("blob").to_pylist() if blob]
+    sets = [pa.ipc.open_stream(x).read_all() for x in rows.column("sets").to_pylist() if x]
+    known = _rows_of(sets)
+    if not parts:
+        return known
     k, hi, size, slack, band, native, flag = (np.concatenate(c) for c in zip(*parts))
     del parts
     order = np.argsort(k, kind="stable")
@@ -292,7 +300,9 @@ def _match(key: tuple, rows: pa.Table) -> pa.Table:
         ok = (native[i] | native[j]).astype(bool) & (np.minimum(size[i], size[j]) * DEN >= np.maximum(size[i], size[j]) * NUM)
         deleted = (flag[i] & 1) + (flag[j] & 1)
         ok &= (deleted == 0) | ((deleted == 1) & (((flag[i] | flag[j]) & 2) > 0))
-        pairs.append((np.minimum(hi[i[ok]], hi[j[ok]]), np.maximum(hi[i[ok]], hi[j[ok]])))
+        i, j = i[ok], j[ok]
+        i, j = np.where(hi[i] < hi[j], i, j), np.where(hi[i] < hi[j], j, i)
+        pairs.append((hi[i], hi[j], slack[i], slack[j], band[i]))
 
     for n in range(2, TEAM + 1):
         at = starts[counts == n]
@@ -309,19 +319,33 @@ def _match(key: tuple, rows: pa.Table) -> pa.Table:
     out.append(_counted(1, pairs))
     subset = ((np.int64(key[0].as_py()) << 40) | (k[mine].astype(np.int64) << 8) | band[mine]).astype(np.int64)
     nothing = np.zeros(len(mine), np.int64)
-    out.append([np.full(len(mine), 2, np.int32), hi[mine], nothing, nothing, subset, slack[mine].astype(np.int32), band[mine].astype(np.int32), native[mine].astype(bool), size[mine]])
-    return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND)
+    out.append([np.full(len(mine), 2, np.int32), hi[mine], nothing, nothing, subset, slack[mine].astype(np.int32), nothing.astype(np.int32), band[mine].astype(np.int32), native[mine].astype(bool), size[mine]])
+    found = pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND)
+    return pa.concat_tables([known, found])
+
+
+def _rows_of(sets: list[pa.Table]) -> pa.Table:
+    """Kind 3: hi, lo, n and doc_id of documents, as a, b, votes and subset."""
+    if not sets:
+        return FOUND.empty_table()
+    rows = pa.concat_tables(sets)
+    n = rows.num_rows
+    none = lambda kind: pa.nulls(n, kind)
+    return pa.Table.from_arrays(
+        [pa.array(np.full(n, 3, np.int32)), rows["hi"], rows["lo"], rows["n"], rows["doc_id"], none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.bool_()), none(pa.int64())],
+        schema=FOUND,
+    )
 
 
 def _counted(kind: int, pairs: list[tuple]) -> list[np.ndarray]:
-    a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+    a, b, slack, other, band = (np.concatenate(c) for c in zip(*pairs)) if pairs else [np.zeros(0, np.int64)] * 5
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, slack, other, band = (c[order] for c in (a, b, slack, other, band))
     starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
     votes = np.diff(np.append(starts, len(a)))
     zero = np.zeros(len(starts), np.int64)
-    return [np.full(len(starts), kind, np.int32), a[starts], b[starts], votes, zero, zero.astype(np.int32), zero.astype(np.int32), zero.astype(bool), zero]
+    slack, other, band = (c[starts].astype(np.int32) for c in (slack, other, band))
+    return [np.full(len(starts), kind, np.int32), a[starts], b[starts], votes, zero, slack, other, band, zero.astype(bool), zero]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,19 +372,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reachable by links)."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sets = cut(docs.mapInArrow(_classify, "doc_id long, n long, hi long, lo long"), "sets")
-    classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    total, most = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    buckets = max(1, -(-int(total) // BUCKET))
-    packed = docs.select("text").mapInArrow(_index(buckets, int(most)), "bucket int, blob binary")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    total, most = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    # a shingle takes 2 bytes of text at least, and in prose some 6
+    buckets = max(1, -(-int(total) // (6 * BUCKET)))
+    packed = docs.mapInArrow(_index(buckets, int(most) // 2 + 1), "bucket int, blob binary, sets binary")
     found = cut(packed.groupBy("bucket").applyInArrow(_match, FOUND_SQL), "found")
+    sets = found.where("kind = 3").select(F.col("subset").alias("doc_id"), F.col("votes").alias("n"), F.col("a").alias("hi"), F.col("b").alias("lo"))
+    classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rep = lambda fp, name: classes.select(F.col("hi").alias(fp), F.col("rep").alias(name))
-    votes = found.where("kind < 2").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("kind").alias("kind"))
+    used = cut(found.where("kind = 2").groupBy("a", "band").agg(F.count(F.lit(1)).alias("used"), F.max("slack").alias("slack")), "used")
+    votes = _voted(found, used)
     alike = classes.alias("x").join(classes.alias("y"), F.expr("x.hi = y.hi AND x.lo < y.lo")).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"), F.lit(1).alias("votes").cast("long"), F.lit(0).alias("kind"))
     pairs = votes.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v"), "votes", "kind")
     pairs = cut(pairs.unionByName(alike).where("u <> v"), "pairs")
     members = found.where("kind = 2").join(rep("a", "node"), "a").select("node", "subset", "slack", "band", "native", "size")
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(members.select("node")).distinct()
+    short = used.where("used > slack").join(rep("a", "node"), "a").select("node")
+    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(short).distinct()
     texts = cut(docs.join(needed, "doc_id", "left_semi"), "texts")
 
     ends = pairs.select("u", "v", "votes", F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("u", "v", "votes", F.col("v"), F.col("u")))
@@ -379,6 +407,21 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _voted(found: DataFrame, used: DataFrame) -> DataFrame:
+    """Pairs of sets with votes. Kind 0 must be verified: linked sets share, beyond what the
+    larger subsets may have taken from either, more subsets than the slack of each. Kind 1 may
+    be worth verifying: as many votes as a quarter of that, with those of representatives."""
+    both = found.where("kind < 2").groupBy("a", "b").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("votes")).otherwise(0)).alias("own"), F.sum("votes").alias("votes"),
+        F.max("band").alias("band"), F.max("slack").alias("slack"), F.max("other").alias("other"),
+    )
+    taken = lambda c: used.select(F.col("a").alias(c), "band", F.col("used").alias(f"used_{c}"))
+    both = both.join(taken("a"), ["a", "band"], "left").join(taken("b"), ["b", "band"], "left")
+    least = F.expr("1 + greatest(slack - coalesce(used_a, 0), other - coalesce(used_b, 0))")
+    kind = F.when((F.col("own") > 0) & (F.col("own") >= least), 0).when(F.expr("4 * votes >= 1 + greatest(slack, other)"), 1)
+    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "votes", "kind")
+
+
 def _used_up(members: DataFrame) -> DataFrame:
     """Pairs of sets whose slack the large subsets of several components have used up."""
     mixed = members.groupBy("subset").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("subset")

@@ -111,6 +111,14 @@ def _vectorize(vocabulary: dict[str, int]) -> Callable:
     return run
 
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per term, summed up per batch."""
+    for batch in batches:
+        n = np.bincount(batch.column(0).flatten().to_numpy())
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["t", "n"])
+
+
 def weights(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A unit vector: terms and (1 + ln tf) * idf over the norm."""
     at = np.asarray(terms, dtype=np.int64)
@@ -241,11 +249,11 @@ def score(
     vocabulary = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: r["word"]))}
     to_vectors, kind = _vectorize(vocabulary), "doc_id long, terms array<int>, counts array<int>"
     vectors = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_vectors, kind), "vectors")
-    df_rows = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
+    df_rows = vectors.select("terms").mapInArrow(_document_counts, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
     total = vectors.count()
     idf = np.full(len(vocabulary), math.log(1 + total))
     for r in df_rows:
-        idf[r["t"]] = math.log((1 + total) / (1 + r["count"])) + 1e-3
+        idf[r["t"]] = math.log((1 + total) / (1 + r["n"])) + 1e-3
     rows = sorted(texts.select("doc_id", "text").mapInArrow(to_vectors, kind).join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
     model = Model([r["doc_id"] for r in rows], [r["label"] for r in rows], [weights(r["terms"], r["counts"], idf) for r in rows], idf, float(share), k, sharpness)
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>"

@@ -17,11 +17,13 @@ partners there.
 Keys travel packed: one row per task and bucket, 4 bytes of key and 2 of document
 each, so the shuffle sorts thousands of rows and not millions. Subsets in at most
 ``TEAM`` distinct sets give all their pairs. Larger ones give each member's pair
-with one representative, and cost each member one slack unless all their members
-turn out to be in one component; sets whose slack that uses up are compared with
-each other inside those subsets. Candidates are verified on the whole sets: first
-the pair with most votes for each set, then, of all the others, those that the
-links found so far don't already join. So components are exact.
+with the member that most consists of large subsets, and cost each member one slack unless all their members
+turn out to be in one component. Sets whose slack that uses up are matched again in
+the finest partition, a segment for each token, where a pair is sure to meet unless
+more than six in seven of its tokens are common; what is left of these meets inside
+the large subsets. Candidates are verified on the whole sets: first
+the pair with most votes for each set, then, of the others, those that the links found
+so far don't already join, and at last the pairs of sets without slack. So components are exact.
 
 Equal sets are one class and compared once. Defined results: words are split and
 lowered as ASCII; a null, empty or blank text has no shingles and is linked with
@@ -273,19 +275,17 @@ FOUND = pa.schema(
 FOUND_SQL = "kind int, a long, b long, votes long, subset long, slack int, other int, band int, native boolean, size long"
 
 
-def _match(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs (kind 0), pairs with a representative (1) and members of large subsets (2) of a bucket."""
-    parts = [unpack(blob) for blob in rows.column("blob").to_pylist() if blob]
-    sets = [pa.ipc.open_stream(x).read_all() for x in rows.column("sets").to_pylist() if x]
-    known = _rows_of(sets)
-    if not parts:
-        return known
+_NOTHING = tuple(np.zeros(0, t) for t in ("<u4", "<i8", "<u4", "<i4", "u1", "u1", "u1"))
+
+
+def _grouped(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Keys that more than one set has, sorted by key, band and set; where groups start, and sizes."""
     k, hi, size, slack, band, native, flag = (np.concatenate(c) for c in zip(*parts))
     del parts
     order = np.argsort(k, kind="stable")
     ks = k[order]
-    same = np.concatenate([[False], ks[1:] == ks[:-1]])
-    order = order[same | np.concatenate([same[1:], [False]])]
+    same = np.concatenate([[False], ks[1:] == ks[:-1]])[: len(k)]
+    order = order[same | np.concatenate([same[1:], [False]])[: len(k)]]
     order = order[np.lexsort((flag[order], hi[order], band[order], k[order]))]
     k, hi, size, slack, band, native, flag = (c[order] for c in (k, hi, size, slack, band, native, flag))
     group = (k.astype(U) << U(8)) | band.astype(U)
@@ -294,6 +294,54 @@ def _match(key: tuple, rows: pa.Table) -> pa.Table:
     size = size.astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(k)])
     counts = np.diff(np.append(starts, len(k)))
+    return k, hi, size, slack, band, native, flag, starts, counts
+
+
+def _match_tokens(key: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs (kind 0) that share rare tokens, and the number of common tokens of a set (4)."""
+    k, hi, size, slack, band, native, flag, starts, counts = _grouped([unpack(blob) for blob in rows.column("blob").to_pylist() if blob] or [_NOTHING])
+    pairs = []
+    for n in range(2, TEAM + 1):
+        at = starts[counts == n]
+        for i, j in combinations(range(n), 2) if len(at) else ():
+            x, y = at + i, at + j
+            ok = np.minimum(size[x], size[y]) * DEN >= np.maximum(size[x], size[y]) * NUM
+            x, y = x[ok], y[ok]
+            pairs.append((hi[x], hi[y], slack[x], slack[y], band[x]))
+    node, common = np.unique(hi[np.repeat(counts > TEAM, counts)], return_counts=True)
+    zero = np.zeros(len(node), np.int64)
+    out = [_counted(0, pairs), [zero.astype(np.int32) + 4, node, zero, common, zero, zero.astype(np.int32), zero.astype(np.int32), zero.astype(np.int32), zero.astype(bool), zero]]
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND)
+
+
+def _token_index(buckets: int) -> Callable:
+    """The finest partition of the universe: a segment for each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, keys = Shingler(), Keys(buckets, Bands(1))
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = shingle(text.as_py())
+                one = np.array([1])
+                keys.entries.append((np.array([node], np.int64), one * len(tokens), one * 0, one * 0, one == 1))
+                keys.keys.append((mix(tokens), np.full(len(tokens), keys.n_entries), np.zeros(len(tokens), np.uint8)))
+                keys.n_entries += 1
+                keys.n_keys += len(tokens)
+                if keys.n_keys > FLUSH:
+                    yield keys.pack(0)
+        yield keys.pack(0)
+
+    return run
+
+
+def _match(key: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs (kind 0), members of large subsets (2) and documents (3) of a bucket."""
+    parts = [unpack(blob) for blob in rows.column("blob").to_pylist() if blob]
+    sets = [pa.ipc.open_stream(x).read_all() for x in rows.column("sets").to_pylist() if x]
+    known = _rows_of(sets)
+    if not parts:
+        return known
+    k, hi, size, slack, band, native, flag, starts, counts = _grouped(parts)
     pairs: list[tuple] = []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
@@ -311,12 +359,8 @@ def _match(key: tuple, rows: pa.Table) -> pa.Table:
                 take(at + i, at + j)
     large = counts > TEAM
     member = np.repeat(large, counts)
-    first = np.repeat(starts, counts)[member]
     out = [_counted(0, pairs)]
-    pairs = []
     mine = np.flatnonzero(member)
-    take(mine[mine != first], first[mine != first])
-    out.append(_counted(1, pairs))
     subset = ((np.int64(key[0].as_py()) << 40) | (k[mine].astype(np.int64) << 8) | band[mine]).astype(np.int64)
     nothing = np.zeros(len(mine), np.int64)
     out.append([np.full(len(mine), 2, np.int32), hi[mine], nothing, nothing, subset, slack[mine].astype(np.int32), nothing.astype(np.int32), band[mine].astype(np.int32), native[mine].astype(bool), size[mine]])
@@ -381,7 +425,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     sets = found.where("kind = 3").select(F.col("subset").alias("doc_id"), F.col("votes").alias("n"), F.col("a").alias("hi"), F.col("b").alias("lo"))
     classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rep = lambda fp, name: classes.select(F.col("hi").alias(fp), F.col("rep").alias(name))
-    used = cut(found.where("kind = 2").groupBy("a", "band").agg(F.count(F.lit(1)).alias("used"), F.max("slack").alias("slack")), "used")
+    used = cut(found.where("kind = 2").groupBy("a", "band").agg(F.count(F.lit(1)).alias("used"), F.max("slack").alias("slack"), F.max("size").alias("size")), "used")
     votes = _voted(found, used)
     alike = classes.alias("x").join(classes.alias("y"), F.expr("x.hi = y.hi AND x.lo < y.lo")).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"), F.lit(1).alias("votes").cast("long"), F.lit(0).alias("kind"))
     pairs = votes.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v"), "votes", "kind")
@@ -396,25 +440,43 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     links = _verify(best, texts, "links")
     first = cut(components(links), "components")
 
-    of = lambda df, node, name: df.join(first.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    rest = of(of(pairs.where("kind = 0"), "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v")
-    rest = rest.unionByName(_used_up(of(members, "node", "component"))).distinct().join(best, ["u", "v"], "left_anti")
-    more = _verify(rest, texts, "more-links")
-    final = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    rest = _across(pairs, first).join(best, ["u", "v"], "left_anti")
+    second = cut(components(_joined(first, _verify(rest, texts, "more-links"))), "components")
+    of = second.select("node", "component")
+    placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    last = _used_up(placed, texts, int(total)).distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    final = components(_joined(second, _verify(last, texts, "last-links")))
     named = classes.join(final, classes["rep"] == final["node"], "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, ["hi", "lo", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components so far."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+
+
 def _voted(found: DataFrame, used: DataFrame) -> DataFrame:
     """Pairs of sets with votes. Kind 0 must be verified: linked sets share, beyond what the
     larger subsets may have taken from either, more subsets than the slack of each. Kind 1 may
     be worth verifying: as many votes as a quarter of that, with those of representatives."""
-    both = found.where("kind < 2").groupBy("a", "b").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("votes")).otherwise(0)).alias("own"), F.sum("votes").alias("votes"),
-        F.max("band").alias("band"), F.max("slack").alias("slack"), F.max("other").alias("other"),
+    own = found.where("kind = 0").select("a", "b", "votes", F.col("votes").alias("own"), "band", "slack", "other")
+    members = found.where("kind = 2").select("a", "band", "subset").join(used, ["a", "band"])
+    # the member that most consists of large subsets is the nearest to a family's middle
+    middle = members.groupBy("subset").agg(F.max(F.struct(F.col("used") / F.col("size"), "a", "slack")).alias("m")).select("subset", F.col("m.a").alias("m"), F.col("m.slack").alias("m_slack"))
+    star = members.join(middle, "subset").where("a <> m").groupBy("a", "m", "band").agg(F.count(F.lit(1)).alias("votes"), F.max("slack").alias("slack"), F.max("m_slack").alias("m_slack"))
+    star = star.select(
+        F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"), "votes", F.lit(0).cast("long").alias("own"), "band",
+        F.expr("if(a < m, slack, m_slack)").alias("slack"), F.expr("if(a < m, m_slack, slack)").alias("other"),
     )
+    both = own.unionByName(star).groupBy("a", "b").agg(*[f(c).alias(c) for c, f in (("own", F.sum), ("votes", F.sum), ("band", F.max), ("slack", F.max), ("other", F.max))])
     taken = lambda c: used.select(F.col("a").alias(c), "band", F.col("used").alias(f"used_{c}"))
     both = both.join(taken("a"), ["a", "band"], "left").join(taken("b"), ["b", "band"], "left")
     least = F.expr("1 + greatest(slack - coalesce(used_a, 0), other - coalesce(used_b, 0))")
@@ -422,15 +484,31 @@ def _voted(found: DataFrame, used: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "votes", "kind")
 
 
-def _used_up(members: DataFrame) -> DataFrame:
-    """Pairs of sets whose slack the large subsets of several components have used up."""
+def _used_up(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Pairs to verify among sets whose slack the large subsets of several components have used up.
+
+    Their tokens are matched one by one. With r' and s' the tokens of r and s that at most ``TEAM``
+    of these sets have, linked sets share s of them, where |r'| + |s'| - 2s is at most their
+    difference. Only pairs whose rare tokens are too few to tell meet inside the large subsets."""
     mixed = members.groupBy("subset").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("subset")
     bad = members.join(mixed, "subset")
     used = bad.groupBy("node", "band").agg(F.count(F.lit(1)).alias("used"), F.max("slack").alias("slack")).where("used > slack").select("node", "band")
     hard = cut(bad.join(used, ["node", "band"]), "hard")
-    x, y = hard.alias("x"), hard.alias("y")
-    near = F.expr(f"x.subset = y.subset AND x.node < y.node AND x.component <> y.component AND (x.native OR y.native) AND least(x.size, y.size) * {DEN} >= greatest(x.size, y.size) * {NUM}")
-    return x.join(y, near).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    nodes = hard.groupBy("node").agg(F.max("size").alias("size"), F.max("component").alias("component"))
+    asked = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    tokens = asked.mapInArrow(_token_index(max(1, -(-total // (6 * BUCKET)))), "bucket int, blob binary, sets binary")
+    found = cut(tokens.groupBy("bucket").applyInArrow(_match_tokens, FOUND_SQL), "found-tokens")
+    common = found.where("kind = 4").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("common"))
+    # DEN + NUM times the rare tokens, less DEN - NUM times all: what a pair must have above 0 together
+    rare = cut(nodes.join(common, "node", "left").withColumn("surplus", F.expr(f"{DEN + NUM} * (size - coalesce(common, 0)) - {DEN - NUM} * size")).select("node", "component", "surplus"), "rare")
+    of = lambda c: rare.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("surplus").alias(f"s{c}"))
+    votes = found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("votes").alias("votes"))
+    told = votes.join(of("u"), "u").join(of("v"), "v").where(f"cu <> cv AND {2 * (DEN + NUM)} * votes >= su + sv").select("u", "v")
+    rows = hard.join(rare.select("node", "surplus"), "node").distinct()
+    x, y = rows.where("surplus <= 0").alias("x"), rows.alias("y")
+    near = F.expr(f"x.subset = y.subset AND x.component <> y.component AND x.surplus + y.surplus <= 0 AND (x.native OR y.native) AND least(x.size, y.size) * {DEN} >= greatest(x.size, y.size) * {NUM}")
+    untold = x.join(y, near).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    return told.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(untold)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

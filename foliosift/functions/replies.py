@@ -25,9 +25,11 @@ def id_list(reply: str, fallback: str = DIGITS) -> list[str]:
 
 def id_list_column(reply: Column) -> Column:
     """id_list with its digits fallback, for a column of replies. from_json alone would turn
-    numbers into strings and accept what follows the list, so the type and the end are checked."""
-    is_list = F.coalesce(F.schema_of_variant(F.try_parse_json(reply)).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) & reply.rlike(r"(?s)\]\s*$")
-    looks_json = F.coalesce(F.try_parse_json(reply).isNotNull(), F.lit(False)) & reply.rlike(r"(?s)[\]}\"0-9el]\s*$") & reply.rlike(r"(?s)^\s*[\[{\"0-9tfn-]")
+    numbers into strings and accept what follows the list, so the whole form is checked."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    is_list = reply.rlike(rf"(?s)^\s*\[\s*(?:{string}\s*(?:,\s*{string}\s*)*)?\]\s*$")
+    whole = reply.rlike(r"(?s)^\s*(?:\{.*\}|\[.*\]|-?[0-9][0-9.eE+-]*|true|false|null)\s*$") | reply.rlike(rf"(?s)^\s*{string}\s*$")
+    looks_json = whole & F.try_parse_json(reply).isNotNull()
     digits = F.filter(F.regexp_extract_all(reply, F.lit('"([^"]+)"'), F.lit(1)), lambda x: x.rlike("^[0-9]+$"))
     return F.when(is_list, F.from_json(reply, "array<string>")).when(looks_json, F.array().cast("array<string>")).otherwise(F.coalesce(digits, F.array().cast("array<string>")))
 

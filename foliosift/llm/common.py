@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_foliosift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = f"{tempfile.mkdtemp(prefix='foliosift-')}/foliosift.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(path)
+    context._foliosift_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +44,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: what follows
     doesn't repeat the work, and a lost executor costs only the tasks it ran."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/foliosift-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

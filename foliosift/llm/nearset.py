@@ -476,12 +476,13 @@ def _voted(found: DataFrame, used: DataFrame) -> DataFrame:
         F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"), "votes", F.lit(0).cast("long").alias("own"), "band",
         F.expr("if(a < m, slack, m_slack)").alias("slack"), F.expr("if(a < m, m_slack, slack)").alias("other"),
     )
-    both = own.unionByName(star).groupBy("a", "b").agg(*[f(c).alias(c) for c, f in (("own", F.sum), ("votes", F.sum), ("band", F.max), ("slack", F.max), ("other", F.max))])
+    # votes count against the slack of their own band; a pair is taken if any band demands it
+    both = own.unionByName(star).groupBy("a", "b", "band").agg(*[f(c).alias(c) for c, f in (("own", F.sum), ("votes", F.sum), ("slack", F.max), ("other", F.max))])
     taken = lambda c: used.select(F.col("a").alias(c), "band", F.col("used").alias(f"used_{c}"))
     both = both.join(taken("a"), ["a", "band"], "left").join(taken("b"), ["b", "band"], "left")
     least = F.expr("1 + greatest(slack - coalesce(used_a, 0), other - coalesce(used_b, 0))")
     kind = F.when((F.col("own") > 0) & (F.col("own") >= least), 0).when(F.expr("4 * votes >= 1 + greatest(slack, other)"), 1)
-    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "votes", "kind")
+    return both.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("kind").alias("kind"))
 
 
 def _used_up(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:

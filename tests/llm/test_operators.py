@@ -289,3 +289,30 @@ def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "one two three four five six"), (3, "one two three four five six"), (3, "one two three four five six"), (4, None)]
     got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in nearset.near_duplicates(docs(spark, rows)).collect())
     assert got == [("3", 2, "3"), ("3", 2, "3"), ("4", 0, "4"), ("None", 2, "None")]
+
+
+def test_votes_count_against_their_own_band(spark):
+    """Own votes of the native band (slack 10, of which 8 may be used) and a representative's
+    vote in the next band, whose slack is larger: the pair must still be verified."""
+    row = lambda kind, a, b, votes, subset, slack, other, band, native: (kind, a, b, votes, subset, slack, other, band, native, 90)
+    rows = [row(0, 1, 2, 3, 0, 10, 10, 4, False), *(row(2, n, 0, 0, 7, 20, 0, 5, False) for n in (1, 2))]
+    used = [(n, band, u, slack, 90) for n in (1, 2) for band, u, slack in ((4, 8, 10), (5, 12, 20))]
+    found = spark.createDataFrame(rows, nearset.FOUND_SQL)
+    got = nearset._voted(found, spark.createDataFrame(used, "a long, band int, used long, slack int, size long")).collect()
+    assert [(r["a"], r["b"], r["kind"]) for r in got] == [(1, 2, 0)]
+
+
+@pytest.mark.parametrize("seed, size", [(11, 92), (12, 60), (13, 138)])
+def test_families_in_the_upper_half_of_a_band(spark, seed, size):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(size)]
+        for _ in range(30):
+            text = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text[: len(text) - rng.randrange(4)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearset.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)

@@ -6,7 +6,13 @@ document is hashed under each mask and joined with the hashes of the benchmark's
 windows. A hit fixes how the document and the item lie against each other; all of
 the item's words are compared there, substitutions allowed, and an item counts as
 contained when at least ``coverage`` of its words (and ``least`` words) agree.
-Alignments of the same item that a deletion or an insertion shifted add up.
+Alignments of the same item that a deletion or an insertion shifted add up, where a
+window of ``MASKS`` was hit.
+
+Every single alignment with that coverage is found: the item is cut into tiles so
+short that, with no more than two agreeing words in each, too few would agree. So
+three words of a tile agree, and every three words of a tile are a seed; the documents'
+windows are hashed under each shape that such a triple can have (``triples``).
 
 All of it is DataFrame expressions. The benchmark's seeds are broadcast only after
 they were counted; above ``broadcast_rows`` both sides are shuffled by seed, and
@@ -21,6 +27,10 @@ text columns are read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations, count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +42,23 @@ SHORT = 5
 SPAN = max(map(len, MASKS))
 
 
+def tile_length(coverage: float, least: int) -> int:
+    """The shortest tile so that an item with enough agreeing words has three of them in one."""
+    if coverage <= 0:
+        raise ValueError("coverage must be above 0")
+    for tile in count(3):
+        if coverage * tile > 2:
+            # beyond this length the share alone decides
+            last = math.ceil(2 * tile / (coverage * tile - 2)) + 1
+            if all(2 * -(-n // tile) < max(math.ceil(coverage * n - 1e-9), min(least, n)) for n in range(SHORT, last + 1)):
+                return tile
+
+
+def triples(tile: int) -> list[str]:
+    """The masks of all triples that fit in a tile."""
+    return ["".join("1" if k in (0, i, j) else "0" for k in range(j + 1)) for i, j in combinations(range(1, tile), 2)]
+
+
 def _words(text: str) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     return F.transform(F.split(clean, " "), lambda w: F.xxhash64(w))
@@ -53,6 +80,12 @@ def _seeds(df: DataFrame, words: str, masks: list[str], *keep: str) -> DataFrame
     return windows.withColumn("_seed", F.explode(_keys(words, "_at", masks))).where("_seed IS NOT NULL")
 
 
+def _tiled(items: DataFrame, tile: int) -> DataFrame:
+    """Seeds of the items' triples that lie within one tile."""
+    parts = [_seeds(items, "item", [m], "item_id", "item").where(F.col("_at") % tile + len(m) <= tile) for m in triples(tile)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text: str = "text", coverage: float = 0.5, least: int = 7, broadcast_rows: int = 2_000_000,
@@ -65,25 +98,28 @@ def overlaps(
     seeds = _seeds(items, "item", MASKS, "item_id", "item")
     if short:
         seeds = seeds.unionByName(_seeds(items.where(f"size(item) < {SPAN}"), "item", masks[-1:], "item_id", "item"))
-    seeds = seeds.withColumnRenamed("_at", "item_at")
+    tile = tile_length(coverage, least)
+    masks = masks + triples(tile)
+    seeds = seeds.withColumn("dense", F.lit(1)).unionByName(_tiled(items, tile).withColumn("dense", F.lit(0))).withColumnRenamed("_at", "item_at")
     words = docs.select(F.col(id_column).alias("doc_id"), _words(text_column).alias("words")).where(f"size(words) >= {SHORT} AND doc_id IS NOT NULL")
     if seeds.count() <= broadcast_rows:
         hits = _seeds(words, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "_seed")
     else:
         near = (
             _seeds(words, "words", masks, "doc_id", "words").drop("words").join(seeds.drop("item"), "_seed")
-            .select("doc_id", "item_id", "_at", "item_at").distinct()
+            .groupBy("doc_id", "item_id", "_at", "item_at").agg(F.max("dense").alias("dense"))
         )
         hits = near.join(words, "doc_id").join(items, "item_id")
     hits = hits.withColumn("shift", F.col("_at") - F.col("item_at"))
     agree = F.expr("aggregate(sequence(0, size(item) - 1), 0, (n, j) -> n + if(get(words, shift + j) = get(item, j), 1, 0))")
     lain = (
-        hits.select("doc_id", "item_id", "shift", F.size("item").alias("item_words"), agree.alias("matched"))
-        .groupBy("doc_id", "item_id", "shift").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"))
+        hits.select("doc_id", "item_id", "shift", "dense", F.size("item").alias("item_words"), agree.alias("matched"))
+        .groupBy("doc_id", "item_id", "shift").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"), F.max("dense").alias("dense"))
     )
     total = lain.groupBy("doc_id", "item_id").agg(
         F.max_by("shift", F.struct("matched", -F.col("shift"))).cast("long").alias("at"), F.max("item_words").cast("long").alias("item_words"),
-        F.least(F.sum("matched"), F.max("item_words")).cast("long").alias("matched"),
+        # triples meet by chance: their shifts don't add up
+        F.greatest(F.least(F.sum(F.col("matched") * F.col("dense")), F.max("item_words")), F.max("matched")).cast("long").alias("matched"),
     )
     share = F.col("matched") / F.col("item_words")
     return total.withColumn("coverage", share).where((share >= coverage) & (F.col("matched") >= F.least(F.lit(least), "item_words")))

@@ -85,6 +85,28 @@ def test_substituted_items_are_found(spark):
     assert decontaminate.overlaps(docs(spark, []), bench).count() == decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_every_alignment_down_to_the_coverage_is_found(spark):
+    """Against brute force: every fifth, third or second word, and random ones, substituted."""
+    rng = random.Random(7)
+    items = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate((7, 11, 13, 15, 16, 25, 38, 59))}
+    rows = []
+    for words in items.values():
+        gone = [set(range(k - 1, len(words), k)) for k in (5, 3, 2)] + [set(rng.sample(range(len(words)), int(len(words) * r))) for r in (0.3, 0.4, 0.5, 0.5, 0.6)]
+        for off in gone:
+            rows.append((len(rows), "a b c " + " ".join(f"z{rng.random()}".replace(".", "") if i in off else w for i, w in enumerate(words)) + " d"))
+    want = set()
+    for i, text in rows:
+        said = text.split()
+        for k, words in items.items():
+            most = max(sum(0 <= s + j < len(said) and said[s + j] == w for j, w in enumerate(words)) for s in range(-len(words), len(said)))
+            if most * 2 >= len(words) and most >= min(7, len(words)):
+                want.add((i, k, most))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    for limit in (2_000_000, 0):
+        assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, rows), bench, broadcast_rows=limit).collect()} == want
+    assert decontaminate.tile_length(0.5, 7) == 6 and len(decontaminate.triples(6)) == 10
+
+
 # 3 and 9 against SQL
 
 

@@ -3,7 +3,10 @@
 A text, each of its blocks (between blank lines) and each of its lines is put in
 canonical form: lower case, copyright lines left out, equivalent spellings made one,
 everything but letters and digits a single space. Its SHA-256 is joined with the
-digests of known licences and notices, so only entire texts match.
+digests of known licences and notices, so only entire texts match. ``KNOWN`` are the
+published texts in ``license_texts``, their usual headers and notices, and a line for
+each SPDX identifier. Spellings that differ in punctuation alone are one: ``GPL-2.0+``
+is told as GPL-2.0.
 
 Defined results: null and empty texts, and units whose canonical form is empty, match
 nothing; repeated rows each report; a unit that occurs more than once in a document
@@ -12,6 +15,9 @@ counts in ``n``; an empty table gives an empty result; only id and text are read
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +50,79 @@ LICENSES = [
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
+TEXTS = Path(__file__).parent / "license_texts"
+# Names that usual one-line notices use.
+NAMES = {
+    "MIT": ["MIT"], "ISC": ["ISC"], "BSD-2-Clause": ["BSD 2-Clause", "2-Clause BSD", "Simplified BSD", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD", "BSD-3-Clause"], "Apache-2.0": ["Apache", "Apache 2.0", "Apache-2.0"],
+    "MPL-2.0": ["Mozilla Public", "MPL 2.0", "MPL-2.0"], "GPL-2.0": ["GPLv2", "GPL v2", "GPL-2.0"], "GPL-3.0": ["GPLv3", "GPL v3", "GPL-3.0"],
+    "LGPL-2.1": ["LGPLv2.1", "LGPL v2.1", "LGPL-2.1"], "LGPL-3.0": ["LGPLv3", "LGPL v3", "LGPL-3.0"], "AGPL-3.0": ["AGPLv3", "AGPL v3", "AGPL-3.0"],
+    "Unlicense": ["Unlicense"], "Zlib": ["zlib", "zlib/libpng"], "BSL-1.0": ["Boost Software", "Boost"],
+}
+CC = [f"BY{kind}" for kind in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND")]
+GNU = [("GPL", "General Public License", v) for v in ("2", "3")] + [("LGPL", "Lesser General Public License", v) for v in ("2.1", "3")] + [("AGPL", "Affero General Public License", "3")]
+
+
+def _notices() -> list[tuple[str, str]]:
+    out = []
+    for name, spoken in NAMES.items():
+        for s in spoken:
+            for verb in ("Released", "Licensed", "Distributed"):
+                out += [(name, f"{verb} under the {s} License."), (name, f"{verb} under {s}."), (name, f"This project is {verb.lower()} under the {s} License."), (name, f"This software is {verb.lower()} under the {s} License.")]
+            out += [(name, f"License: {s}"), (name, f"This project is licensed under the terms of the {s} License.")]
+    for kind in CC:
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            name = f"CC-{kind}-{version}"
+            out += [(name, f"{start} under CC {kind} {version}.") for start in ("Licensed", "Released", "This work is licensed", "This article is licensed")] + [(name, f"CC {kind} {version}")]
+    for short, long, v in GNU:
+        name = f"{short}-{v if '.' in v else v + '.0'}"
+        for thing in ("program", "library", "file", "software"):
+            for stop in (":", ";"):
+                head = f"This {thing} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {long} as published by the Free Software Foundation"
+                out += [(name, f"{head}, either version {v} of the License, or (at your option) any later version."), (name, f"{head}, version {v}."), (name, f"{head}; version {v} of the License.")]
+        out += [(name, f"{start} licensed under the GNU {long}, version {v}.") for start in ("This work is", "This program is", "This software is")] + [(name, f"Licensed under the GNU {long}, version {v}."), (name, f"Licensed under the GNU {long} v{v}.")]
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    copy = " You may obtain a copy of the License at\n\n    http{s}://www.apache.org/licenses/LICENSE-2.0"
+    rest = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    out += [("Apache-2.0", apache + copy.replace("{s}", s) + "\n\n" + rest) for s in ("", "s")] + [("Apache-2.0", apache + copy.partition("\n")[0])]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    return [*out, ("MPL-2.0", mpl), *(("MPL-2.0", f"{mpl} If a copy of the MPL was not distributed with this file, You can obtain one at {h}://mozilla.org/MPL/2.0/.") for h in ("http", "https"))]
+
+
+def _published() -> list[tuple[str, str]]:
+    """Texts as published and with each paragraph on a line, the BSD ones also after their usual lines."""
+    out = []
+    for f in sorted(TEXTS.glob("*.txt")):
+        if f.stem == "spdx":
+            continue
+        name, text = f.stem.removesuffix("-UC"), f.read_text("utf-8")
+        joined = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text))
+        for t in (text, joined):
+            out.append((name, t))
+            if name.startswith("BSD"):
+                title = f"BSD {name[4]}-Clause License\n\n"
+                out += [(name, title + t), (name, "All rights reserved.\n\n" + t), (name, title + "All rights reserved.\n\n" + t)]
+            if name == "Zlib":
+                out.append((name, "zlib License\n\n" + t))
+    return out
+
+
+def _all_known() -> list[tuple[str, str]]:
+    """LICENSES and all others, whose form isn't yet there."""
+    form = lambda t: re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT, " ", t).lower()).strip()
+    spdx = [(i, f"SPDX-License-Identifier: {i}") for i in sorted((TEXTS / "spdx.txt").read_text("utf-8").split(), key=lambda i: (i.endswith("+"), i))]
+    seen: dict[str, tuple[str, str]] = {}
+    for name, text in [*LICENSES, *_notices(), *_published(), *spdx]:
+        seen.setdefault(form(text), (name, text))
+    return list(seen.values())
+
+
 # Spellings held to be the same.
 SPELLINGS = [("licence", "license"), ("noncommercial", "non commercial"), ("sub license", "sublicense"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("favour", "favor"), ("fulfilment", "fulfillment")]
 COPYRIGHT = r"(?im)^[ \t]*(copyright\b|\(c\)|©).*$"
 
+KNOWN = _all_known()
+
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " "))
@@ -62,7 +137,7 @@ def known_digests(spark: SparkSession, licenses: list[tuple[str, str]]) -> DataF
     return known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame, licenses: list[tuple[str, str]] = LICENSES, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, licenses: list[tuple[str, str]] = KNOWN, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, license, unit (text, block or line: the widest that matches), n (units that match)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     unit = lambda rank, parts: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), p.alias("part")))

@@ -128,6 +128,21 @@ def test_licenses_in_other_spelling(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_beyond_the_lines_of_the_test_documents(spark):
+    text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text("utf-8")
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib"]
+    rows = [(f"Copyright 2020 Someone\n{text(n)}", n, "text") for n in names]
+    rows += [(f"# SPDX-License-Identifier: {i}\nx = 1", i, "line") for i in ("GPL-2.0", "BSD-3-Clause", "GPL-3.0-or-later", "AGPL-3.0-only", "CC-BY-NC-ND-4.0")]
+    rows += [("x\n\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n\ny", "GPL-2.0", "block")]
+    got = licenses.scan(docs(spark, [(i, t) for i, (t, _, _) in enumerate(rows)])).collect()
+    best = {}
+    for r in got:
+        best.setdefault(r["doc_id"], set()).add((r["license"], r["unit"]))
+    assert best == {i: {(name, unit)} for i, (_, name, unit) in enumerate(rows)}
+    forms = licenses.known_digests(spark, licenses.KNOWN)
+    assert forms.count() == forms.select("digest").distinct().count() > 900
+
+
 def test_list_entries_hold_between_their_dates(spark):
     log = spark.sql("""SELECT * FROM VALUES ('block', 'a.example', 'add', DATE '2024-01-02'), ('block', 'a.example', 'remove', DATE '2024-01-04'),
       ('block', 'example', 'add', DATE '2024-01-04'), ('allow', 'a.example', 'add', DATE '2024-01-05') AS t(list, pattern, action, happened)""")

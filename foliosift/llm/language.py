@@ -16,7 +16,6 @@ no labelled documents the result is empty of languages (null).
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -101,14 +100,13 @@ def identify(pages: DataFrame, labelled: DataFrame, *, per_language: int = 1000,
     suffixes = suffixes.select("suffix", F.expr(f"zip_with(s, {literal}, (x, b) -> (x + {smoothing} * b) / (n + {smoothing}))").alias("suffix_prior"))
     hosts = text.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("hn"), sums.alias("hs")).join(suffixes, "suffix")
     hosts = hosts.select("host", "hn", "hs", "suffix_prior")
-    declared = text.groupBy("declared").agg(sums.alias("s"))
-    seen = {r["declared"]: r["s"] for r in declared.where("declared <> ''").orderBy(F.desc(F.expr("aggregate(s, 0D, (a, x) -> a + x)"))).limit(200).collect()}
-    spread = [sum(s[i] for s in seen.values()) + 1.0 for i in range(size)]
-    table_of = {d: [math.log((s[i] + 1.0 / (1 + len(seen))) / spread[i]) for i in range(size)] for d, s in seen.items()}
-    evidence = F.create_map(*[x for d, v in table_of.items() for x in (F.lit(d), F.array(*[F.lit(y) for y in v]))]) if table_of else F.lit(None).cast("map<string,array<double>>")
+    # one row per declared code, of which DECLARED allows 26^2 + 26^3
+    seen = text.where("declared <> ''").groupBy("declared").agg(sums.alias("s"))
+    of_all = seen.agg(F.count(F.lit(1)).alias("n_seen"), F.array(*[F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) + 1.0 for i in range(size)]).alias("spread"))
+    evidence = seen.crossJoin(of_all).select("declared", F.expr("zip_with(s, spread, (x, y) -> ln((x + 1 / (1 + n_seen)) / y))").alias("d"))
     if hosts.count() <= broadcast_rows:
         hosts = F.broadcast(hosts)
-    fused = text.join(hosts, "host").withColumn("d", F.coalesce(F.try_element_at(evidence, F.col("declared")), F.array(*[F.lit(0.0)] * size)))
+    fused = text.join(hosts, "host").join(F.broadcast(evidence), "declared", "left").withColumn("d", F.coalesce("d", F.array(*[F.lit(0.0)] * size)))
     score = F.expr(f"transform(ll, (x, i) -> x + d[i] + ln((greatest(0D, hs[i] - p[i]) + {smoothing} * suffix_prior[i]) / (hn - 1 + {smoothing})))")
     fused = fused.withColumn("score", score).withColumn("top", F.array_max("score"))
     fused = fused.withColumn("probability", F.expr("1 / aggregate(score, 0D, (a, x) -> a + exp(x - top))"))

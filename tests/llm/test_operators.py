@@ -214,6 +214,17 @@ def test_pages_of_known_language(spark):
     assert {r["lang"] for r in language.identify(df, labelled.limit(0)).collect()} == {None}
 
 
+def test_rare_declared_languages_are_evidence(spark):
+    """A code that is not among the 200 with most pages, on a page without text."""
+    en, de = "the cat and the dog with that other thing ", "der hund und die katze mit dem anderen ding "
+    labelled = spark.createDataFrame([(s * 3 + str(i), lang) for lang, s in (("en", en), ("de", de)) for i in range(20)], "text string, lang string")
+    codes = [a + b for a in "abcdefghij" for b in "abcdefghijklmnopqrstuv"]
+    declared = [(c, en * 3) for c in codes for _ in range(6)] + [("qq", de * 3)] * 4 + [("qq", "")]
+    pages = [(i, f"http://h{i}.s{i}x/", f"<html lang={c}><p>{t}</p></html>") for i, (c, t) in enumerate(declared)]
+    got = {r["page_id"]: r["lang"] for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()}
+    assert len(got) == len(pages) and got[len(pages) - 1] == "de" and got[0] == "en"
+
+
 # 7 resharding
 
 

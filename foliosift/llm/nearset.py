@@ -20,8 +20,8 @@ each, so the shuffle sorts thousands of rows and not millions. Subsets in at mos
 with the member that most consists of large subsets, and cost each member one slack unless all their members
 turn out to be in one component. Sets whose slack that uses up are matched again in
 the finest partition, a segment for each token, where a pair is sure to meet unless
-more than six in seven of its tokens are common; what is left of these meets inside
-the large subsets. Candidates are verified on the whole sets: first
+more than six in seven of its tokens are common; what is left of these is compared
+through the middle of the large subset they share (``_through_middles``). Candidates are verified on the whole sets: first
 the pair with most votes for each set, then, of the others, those that the links found
 so far don't already join, and at last the pairs of sets without slack. So components are exact.
 
@@ -53,6 +53,8 @@ WORDS, NUM, DEN = 5, 75, 100
 GROWTH, SPARE, TEAM = 1.5, 0.4, 8
 #: Keys a bucket is planned for, keys a task packs at once, words and sets a task remembers.
 BUCKET, FLUSH, MEMORY = 2_000_000, 3_000_000, 200_000
+#: Sets of a block that is compared with another.
+TOGETHER = 512
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -444,8 +446,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     second = cut(components(_joined(first, _verify(rest, texts, "more-links"))), "components")
     of = second.select("node", "component")
     placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    last = _used_up(placed, texts, int(total)).distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
-    final = components(_joined(second, _verify(last, texts, "last-links")))
+    told, linked = _used_up(placed, texts, int(total))
+    told = told.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    final = components(_joined(second, _verify(told, texts, "last-links").unionByName(linked)))
     named = classes.join(final, classes["rep"] == final["node"], "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, ["hi", "lo", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -485,12 +488,13 @@ def _voted(found: DataFrame, used: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.min("kind").alias("kind"))
 
 
-def _used_up(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """Pairs to verify among sets whose slack the large subsets of several components have used up.
+def _used_up(members: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify, and links, among sets whose slack the large subsets of several components
+    have used up.
 
     Their tokens are matched one by one. With r' and s' the tokens of r and s that at most ``TEAM``
     of these sets have, linked sets share s of them, where |r'| + |s'| - 2s is at most their
-    difference. Only pairs whose rare tokens are too few to tell meet inside the large subsets."""
+    difference. Pairs that share no rare token, and have too few to tell, meet through a middle."""
     mixed = members.groupBy("subset").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("subset")
     bad = members.join(mixed, "subset")
     used = bad.groupBy("node", "band").agg(F.count(F.lit(1)).alias("used"), F.max("slack").alias("slack")).where("used > slack").select("node", "band")
@@ -501,15 +505,100 @@ def _used_up(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     found = cut(tokens.groupBy("bucket").applyInArrow(_match_tokens, FOUND_SQL), "found-tokens")
     common = found.where("kind = 4").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("common"))
     # DEN + NUM times the rare tokens, less DEN - NUM times all: what a pair must have above 0 together
-    rare = cut(nodes.join(common, "node", "left").withColumn("surplus", F.expr(f"{DEN + NUM} * (size - coalesce(common, 0)) - {DEN - NUM} * size")).select("node", "component", "surplus"), "rare")
+    rare = nodes.join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    rare = cut(rare.withColumn("surplus", F.expr(f"{DEN + NUM} * (size - common) - {DEN - NUM} * size")).select("node", "component", "surplus", "size", "common"), "rare")
     of = lambda c: rare.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("surplus").alias(f"s{c}"))
     votes = found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("votes").alias("votes"))
     told = votes.join(of("u"), "u").join(of("v"), "v").where(f"cu <> cv AND {2 * (DEN + NUM)} * votes >= su + sv").select("u", "v")
-    rows = hard.join(rare.select("node", "surplus"), "node").distinct()
-    x, y = rows.where("surplus <= 0").alias("x"), rows.alias("y")
-    near = F.expr(f"x.subset = y.subset AND x.component <> y.component AND x.surplus + y.surplus <= 0 AND (x.native OR y.native) AND least(x.size, y.size) * {DEN} >= greatest(x.size, y.size) * {NUM}")
-    untold = x.join(y, near).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-    return told.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(untold)
+    told = told.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return told, _through_middles(hard, rare, texts)
+
+
+def _through_middles(hard: DataFrame, rare: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among sets that share no rare token, each described by its difference from a middle.
+
+    The middle p of a subset is the member with the largest share of common tokens. With
+    a = |p - x|, and c common tokens of x outside p, x and y share |p| - |(p - x) + (p - y)| tokens
+    of p and at most min(c, c') others, so x can be linked with sets of at most ``reach`` tokens
+    (scaled by NUM) alone. Where substituted copies are as long as their middle, hardly any
+    but those linked with the middle itself is in reach of another. Sets within each other's
+    reach are compared in blocks, as bits over the middle's tokens; a pair of blocks gives no
+    pairs but a forest of links."""
+    place = hard.select("subset", "node").distinct().join(rare, "node")
+    middle = place.groupBy("subset").agg(F.max_by("node", F.struct(F.col("common") / F.col("size"), -F.col("node"))).alias("middle"), F.min("surplus").alias("least"))
+    # only pairs whose surplus is 0 or less together are left; one of a set and its middle at least
+    asked = place.join(middle, "subset").where("surplus + least <= 0").select("node", "middle").distinct()
+    of = lambda c: rare.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "common", "component")])
+    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    rows = asked.join(of("node"), "node").join(of("middle"), "middle").join(text("node"), "node").join(text("middle"), "middle")
+    rows = rows.select("node", "middle", "node_component", "middle_component", "node_common", (F.col("middle_size") - F.col("middle_common")).alias("middle_rare"), "text_node", "text_middle")
+    apart = cut(rows.mapInArrow(_differences, DIFFERENCE_SQL), "differences")
+    outer = F.col("component") != F.col("middle_component")
+    for _ in range(2):
+        # a set of the middle's component needs a partner in another, others need any
+        most = apart.groupBy("middle").agg(
+            F.min("size").alias("s"), F.max("reach").alias("r"), F.min(F.when(outer, F.col("size"))).alias("so"), F.max(F.when(outer, F.col("reach"))).alias("ro")
+        )
+        apart = apart.join(most, "middle").where(F.expr(f"if(component <> middle_component, {NUM} * s <= reach AND {NUM} * size <= r, {NUM} * so <= reach AND {NUM} * size <= ro)")).drop("s", "r", "so", "ro")
+    apart = cut(apart, "within-reach")
+    blocks = apart.groupBy("middle").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).cast("int").alias("blocks"))
+    dealt = apart.join(blocks, "middle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("middle", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component", "size", "missing", "extra")
+    return cut(dealt.groupBy("middle", "one", "two").applyInArrow(_linked, "u long, v long"), "middle-links")
+
+
+DIFFERENCE_SQL = "node long, middle long, component long, middle_component long, size long, reach long, missing binary, extra binary"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by their difference from a middle: which of its tokens they lack, and their others."""
+    shingle, last = Shingler(), ("", np.zeros(0, U))
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for common, rare, text, middle in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6, 7))):
+            if last[0] != middle:
+                last = (middle, shingle(middle))
+            own, p = shingle(text), last[1]
+            missing = ~np.isin(p, own, assume_unique=True)
+            extra = own[~np.isin(own, p, assume_unique=True)]
+            shared = len(own) - len(extra)
+            others = min(len(extra), common - shared + rare)
+            for column, value in zip(out, (len(own), (DEN + NUM) * (shared + others) - NUM * len(own), np.packbits(missing).tobytes(), extra.tobytes())):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.record_batch([*batch.columns[:4], *(pa.array(c, t) for c, t in zip(out, kinds))], names=["node", "middle", "component", "middle_component", "size", "reach", "missing", "extra"])
+
+
+def _linked(key: tuple, rows: pa.Table) -> pa.Table:
+    """A forest of the links between two blocks of sets with one middle, across components."""
+    one, two = key[1].as_py(), key[2].as_py()
+    node, component, size, own = (rows.column(c).to_numpy() for c in ("node", "component", "size", "own"))
+    lacks = np.stack([np.frombuffer(b, np.uint8) for b in rows.column("missing").to_pylist()])
+    extras = [np.frombuffer(b, U) for b in rows.column("extra").to_pylist()]
+    n_extra = np.array([len(e) for e in extras])
+    held = size - n_extra
+    root = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    left, right, links = np.flatnonzero(own == one), np.flatnonzero(own == two), []
+    for i in left:
+        both = np.bitwise_count(lacks[right] & lacks[i]).sum(axis=1, dtype=np.int64)
+        # what both hold of the middle: what i holds, less what the other lacks and i doesn't
+        inside = held[i] - (np.bitwise_count(lacks[right]).sum(axis=1, dtype=np.int64) - both)
+        need = NUM * (size[i] + size[right])
+        near = (DEN + NUM) * (inside + np.minimum(n_extra[i], n_extra[right])) >= need
+        for k in np.flatnonzero(near & (component[right] != component[i])):
+            j = right[k]
+            a, b = top(component[i]), top(component[j])
+            if a != b and (DEN + NUM) * (inside[k] + len(np.intersect1d(extras[i], extras[j], assume_unique=True))) >= need[k]:
+                root[a] = b
+                links.append((int(node[i]), int(node[j])))
+    return pa.table({"u": pa.array([min(x) for x in links], pa.int64()), "v": pa.array([max(x) for x in links], pa.int64())})
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliosift.llm.common import cut
+from foliosift.llm.common import cut, dropped
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = print_of(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)), "edges")
+        before, now = now, cut(_small_star(_large_star(now)), "edges")
         mark = print_of(now)
+        dropped(before)
         if mark == seen:
             break
         seen = mark

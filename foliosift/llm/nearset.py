@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliosift.llm.common import cut, table
+from foliosift.llm.common import alone, cut, dropped, table
 from foliosift.llm.components import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -418,6 +418,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reachable by links)."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return alone(lambda: _near_duplicates(docs), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     total, most = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     # a shingle takes 2 bytes of text at least, and in prose some 6
@@ -440,10 +444,10 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     ends = pairs.select("u", "v", "votes", F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("u", "v", "votes", F.col("v"), F.col("u")))
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("votes", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     links = _verify(best, texts, "links")
-    first = cut(components(links), "components")
+    first = components(links)
 
     rest = _across(pairs, first).join(best, ["u", "v"], "left_anti")
-    second = cut(components(_joined(first, _verify(rest, texts, "more-links"))), "components")
+    second = components(_joined(first, _verify(rest, texts, "more-links")))
     of = second.select("node", "component")
     placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     told, linked = _used_up(placed, texts, int(total))

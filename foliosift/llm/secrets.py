@@ -4,28 +4,34 @@ All of it is DataFrame expressions. Positions come from splitting the text at th
 matches: the lengths of the pieces and of the matches alternate, in code points.
 
 Battery. Every token of 20 or more characters in one of the encodings below is
-tested for being drawn evenly from its alphabet: a chi-squared test of the
-counts, a runs test about the alphabet's middle and a test of the lag-one serial
-correlation; Fisher's method combines the three. A token is a discovery when the
-tests don't reject evenness and it is also far from text: under text the counts
-repeat ``TEXT_EXCESS`` times as often as evenly drawn ones, and the kind of
-character (digit, upper, lower) changes with probability ``TEXT_CHANGE``. The
-p-values of that second question are divided by weights in proportion to the
-token's bits (mean 1), and Benjamini and Hochberg's step-up over all tokens of the
-corpus sets one threshold for the false-discovery rate ``fdr``. The step-up reads
-counts in bins of -log10(p), at most ``BINS`` rows, so its size doesn't grow.
-
-Defined results: a null text is an empty one and has no spans; repeated rows each
-get their spans; an empty table gives an empty result; columns that would clash
-with the added ``spans`` are refused by name in ``annotate``.
+tested for being drawn evenly from its alphabet: a chi-squared test of the counts (by
+the pairs of equal characters, whose number is near Poisson), a runs test about the
+alphabet's middle and a test of the lag-one serial correlation; Fisher's method combines
+the three, and tokens that it rejects at ``FIT`` are not random. What it lets pass is
+judged against ordinary words: the ratio of a token's likelihood under even draws to
+that under a text model, in which kinds of character (digit, lower, upper, sign) change
+with probability ``TEXT_CHANGE``, vowels and consonants alternate and letters have their
+usual frequencies. One over that ratio is a p-value whatever the token's length (a text
+reaches a ratio of r with probability 1 / r at most). P-values are divided by weights in
+proportion to the token's bits (mean 1), and Benjamini and Hochberg's step-up over all
+tokens of the corpus sets one threshold for the false-discovery rate ``fdr``. The step-up
+reads counts in bins of -log10(p), at most ``BINS`` rows, so its size doesn't grow.
+
+The texts are read twice, for the step-up and for the spans; nothing is written between.
+
+Defined results: a null text is an empty one and has no spans; repeated rows each get
+their spans; an empty table gives an empty result; the input's columns are kept whatever
+their names, but for one named ``spans``, which the result's own replaces.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliosift.llm.common import cut, table
+from foliosift.llm.common import cut, dropped, table
 
 # Fixed values of the contract's base patterns.
 KINDS = ["assign", "access", "hex", "random"]
@@ -46,7 +52,10 @@ ENCODINGS = [
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 ]
-TEXT_EXCESS, TEXT_CHANGE, FIT, FDR, BINS, SCALE = 1.8, 0.2, 0.001, 0.01, 400, 10
+FIT, FDR, BINS, SCALE = 0.001, 0.01, 400, 10
+#: Letters of English text per ten thousand, from a to z, and the shares of vowels after a vowel and after a consonant.
+LETTERS = [817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7]
+TEXT_CHANGE, VOWELS, AFTER_VOWEL, AFTER_CONSONANT = 0.25, "aeiou", 0.15, 0.58
 SPAN = "array<struct<start:int,rank:int,end:int,match:string,value:string>>"
 
 
@@ -85,9 +94,22 @@ def _find(df: DataFrame, name: str, pattern: str, value_group: int, rank: int) -
     )
 
 
-def _phi(z: str) -> str:
-    """The normal distribution function to 2e-4, as SQL."""
-    return f"(1 / (1 + exp(-greatest(-30D, least(30D, 1.5976D * ({z}) + 0.070565D * pow({z}, 3))))))"
+def _tail(z: str) -> str:
+    """The upper tail of the normal distribution as SQL, to about 1e-7 of its value."""
+    x = f"(least(37D, abs({z})) / sqrt(2D))"
+    t = f"(1 / (1 + 0.5D * {x}))"
+    series = [1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    inner = "0D"
+    for c in reversed(series):
+        inner = f"({c}D + {t} * {inner})"
+    half = f"(0.5D * {t} * exp(-{x} * {x} - 1.26551223D + {t} * {inner}))"
+    return f"if({z} >= 0, {half}, 1 - {half})"
+
+
+def _text_costs() -> str:
+    """SQL map from a letter to -log2 of its share among vowels or consonants."""
+    vowels = sum(n for c, n in zip(LOWER, LETTERS) if c in VOWELS)
+    return "map(" + ", ".join(f"'{c}', {-math.log2(n / (vowels if c in VOWELS else sum(LETTERS) - vowels))!r}D" for c, n in zip(LOWER, LETTERS)) + ")"
 
 
 def _tested(token: str) -> str:
@@ -96,9 +118,19 @@ def _tested(token: str) -> str:
     body = f"trim(TRAILING '=' FROM {token})"
     # each step sees the one before as a lambda variable, so nothing is computed twice
     values = "transform(sequence(1, length(t.b)), i -> locate(substr(t.b, i, 1), t.a) - 1)"
-    counts = "aggregate(array_distinct(t.v), 0D, (s, x) -> s + pow(size(filter(t.v, y -> y = x)), 2))"
-    change = "aggregate(sequence(2, size(t.v)), 0, (s, i) -> s + if(translate(substr(t.b, i, 1), '{c}', '{m}') = translate(substr(t.b, i - 1, 1), '{c}', '{m}'), 0, 1))".format(
-        c=DIGITS + LOWER + UPPER, m="0" * 10 + "a" * 26 + "A" * 26
+    counts = "aggregate(map_values(aggregate(t.v, CAST(map() AS MAP<INT, BIGINT>), (m, x) -> map_concat(map_filter(m, (k, n) -> k <> x), map(x, coalesce(try_element_at(m, x), 0L) + 1L)))), 0D, (s, n) -> s + n * n)"
+    kinds = "translate(t.b, '{}', '{}')".format(DIGITS + LOWER + UPPER + "+/-_", "0" * 10 + "a" * 26 + "A" * 26 + "-" * 4)
+    classes = "translate(lower(t.b), '{}', '{}')".format(DIGITS + LOWER + "+/-_", "0" * 10 + "".join("v" if c in VOWELS else "c" for c in LOWER) + "-" * 4)
+    change, stay = -math.log2(TEXT_CHANGE / 3), -math.log2(1 - TEXT_CHANGE)
+    at = lambda of, i: f"substr(t.{of}, {i}, 1)"
+    share = lambda p: f"if({at('c', 'i')} = 'v', {-math.log2(p)!r}D, {-math.log2(1 - p)!r}D)"
+    first = sum(n for c, n in zip(LOWER, LETTERS) if c in VOWELS) / sum(LETTERS)
+    text_bits = (
+        "aggregate(sequence(1, t.n), 0D, (s, i) -> s"
+        f" + if(i = 1, 2D, if({at('kinds', 'i')} = {at('kinds', 'i - 1')}, {stay!r}D, {change!r}D))"
+        f" + CASE {at('c', 'i')} WHEN '0' THEN {math.log2(10)!r}D WHEN '-' THEN 2D ELSE"
+        f" CASE if(i = 1, '', {at('c', 'i - 1')}) WHEN 'v' THEN {share(AFTER_VOWEL)} WHEN 'c' THEN {share(AFTER_CONSONANT)} ELSE {share(first)} END"
+        f" + {_text_costs()}[lower({at('b', 'i')})] END)"
     )
     high = "size(filter(t.v, x -> x >= t.k / 2))"
     runs = "(1 + aggregate(sequence(1, size(t.v) - 1), 0, (s, i) -> s + if((t.v[i] >= t.k / 2) = (t.v[i - 1] >= t.k / 2), 0, 1)))"
@@ -106,69 +138,64 @@ def _tested(token: str) -> str:
     lag = "aggregate(sequence(1, size(t.v) - 1), 0D, (s, i) -> s + (t.v[i] - t.mean) * (t.v[i - 1] - t.mean))"
     spread = "aggregate(t.v, 0D, (s, x) -> s + pow(x - t.mean, 2))"
     step = lambda source, *fields: f"transform({source}, t -> struct({', '.join(fields)}))"
-    out = step(f"filter(array(struct({body} AS b, {alphabet} AS a)), t -> t.a IS NOT NULL AND length(t.b) >= 20)", "t.b AS b", "length(t.a) AS k", f"{values} AS v")
-    out = step(out, "t.k AS k", "t.v AS v", "size(t.v) AS n", f"{counts} AS sq", f"{change} AS ch", f"{high} AS hi", f"{runs} AS r", f"{mean} AS mean")
+    out = step(f"filter(array(struct({body} AS b, {alphabet} AS a)), t -> t.a IS NOT NULL AND length(t.b) >= 20)", "t.b AS b", "length(t.a) AS k", f"{values} AS v", f"{kinds} AS kinds", f"{classes} AS c", "length(t.b) AS n")
+    out = step(out, "t.k AS k", "t.v AS v", "t.n AS n", f"{counts} AS sq", f"{text_bits} AS text_bits", f"{high} AS hi", f"{runs} AS r", f"{mean} AS mean")
     out = step(
-        out, "t.k AS k", "t.n AS n", "t.ch AS ch", "(t.sq - t.n) / 2 AS pairs", "t.n * (t.n - 1) / 2D AS all_pairs",
+        out, "t.k AS k", "t.n AS n", "t.text_bits AS text_bits", "greatest(1D, t.sq - t.n) AS d", "t.sq = t.n AS unlike", "t.n * (t.n - 1D) / t.k AS mu2",
         "(t.r - (2D * t.hi * (t.n - t.hi) / t.n + 1)) / sqrt(greatest(1e-9D, 2D * t.hi * (t.n - t.hi) * (2D * t.hi * (t.n - t.hi) - t.n) / (pow(t.n, 2) * (t.n - 1)))) AS z_runs",
         f"({lag} / greatest(1e-9D, {spread})) * sqrt(t.n) + 1 / sqrt(t.n) AS z_serial",
     )
+    # that a Poisson number with mean mu2 / 2 reaches d / 2 is that a chi-squared one of d degrees stays below mu2
     out = step(
-        out, "t.k AS k", "t.n AS n", "t.z_runs AS z_runs", "t.z_serial AS z_serial",
-        "(t.pairs - t.all_pairs / t.k) / sqrt(t.all_pairs / t.k * (1 - 1D / t.k)) AS z_even",
-        f"(t.pairs - t.all_pairs * {TEXT_EXCESS}D / t.k) / sqrt(t.all_pairs * {TEXT_EXCESS}D / t.k * (1 + 0.3D * (t.n - 2) * {TEXT_EXCESS}D / t.k)) AS z_text",
-        f"(t.ch - {TEXT_CHANGE}D * (t.n - 1)) / sqrt({TEXT_CHANGE * (1 - TEXT_CHANGE)}D * (t.n - 1)) AS z_change",
+        out, "t.n * log2(t.k) AS bits", "t.text_bits AS text_bits", "t.unlike AS unlike", "(1 - 2 / (9 * t.d) - pow(t.mu2 / t.d, 1 / 3D)) / sqrt(2 / (9 * t.d)) AS z_even",
+        "abs(t.z_runs) AS z_runs", "abs(t.z_serial) AS z_serial",
     )
-    least = lambda p: f"greatest(1e-12D, least(1D, {p}))"
+    least = lambda p: f"ln(greatest(1e-300D, {p}))"
     out = step(
-        out, "t.n * log2(t.k) AS bits",
-        f"-(ln({least(_phi('-t.z_even'))}) + ln({least('2 * ' + _phi('-abs(t.z_runs)'))}) + ln({least('2 * ' + _phi('-abs(t.z_serial)'))})) AS h3",
-        f"-(ln({least(_phi('t.z_text'))}) + ln({least(_phi('-t.z_change'))})) AS h2",
+        out, "t.bits AS bits", "t.text_bits AS text_bits",
+        f"-(if(t.unlike, 0D, {least(_tail('t.z_even'))}) + {least('2 * ' + _tail('t.z_runs'))} + {least('2 * ' + _tail('t.z_serial'))}) AS h",
     )
-    out = step(out, "t.bits AS bits", "exp(-t.h3) * (1 + t.h3 + t.h3 * t.h3 / 2) AS fit", "exp(-t.h2) * (1 + t.h2) AS p")
+    out = step(out, "t.bits AS bits", "exp(-t.h) * (1 + t.h + t.h * t.h / 2) AS fit", "least(1D, pow(2D, greatest(-990D, t.bits - t.text_bits))) AS p")
     return f"get({out}, 0)"
 
 
-def annotate(docs: DataFrame, *, text_column: str = "text", keep_text: bool = True, fdr: float = FDR) -> DataFrame:
-    """docs with ``spans``: array of (start, end, kind), sorted; with ``keep_text`` False without the text."""
-    if "spans" in docs.columns:
-        raise ValueError("the input has a column named spans already")
-    df = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit("")))
+def _scanned(df: DataFrame) -> DataFrame:
+    """Adds the base spans and the tested tokens outside of them to rows (row, _text)."""
     df = _find(df, "_assign", ASSIGN, 2, 0)
     df = _find(df, "_access", ACCESS, 0, 1)
     df = _find(df, "_hex", HEX, 0, 2)
     df = _find(df, "_token", TOKEN, 0, 3)
     base = F.concat(F.filter("_assign", lambda x: F.length(x["value"]) >= 6), F.col("_access"), F.col("_hex"))
-    slim = "transform({0}, x -> struct(x.start AS start, x.rank AS rank, x.end AS end))"
-    df = df.withColumn("_base", base).withColumn(
-        "_tokens",
-        F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))),
-    )
-    df = df.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], t["match"].alias("word"))))
-    tested = F.expr(
-        "filter(transform(_tokens, w -> struct(w.start AS start, w.end AS end, {0} AS t)), x -> x.t IS NOT NULL)".format(_tested("w.word"))
-    )
-    df = df.withColumn("_tested", tested).withColumn("_base", F.expr(slim.format("_base")))
-    df = df.drop("_text", "_assign", "_access", "_hex", "_token", "_tokens")
-    df = cut(df if keep_text else df.drop(text_column), "secrets")
-    limit = _step_up(df.select(F.explode("_tested.t").alias("t")).where(f"t.fit >= {FIT}").select("t.bits", "t.p"), fdr)
-    random = F.expr(
-        f"transform(filter(_tested, x -> x.t.fit >= {FIT} AND least({BINS - 1}, floor(-log10(greatest(1e-300D, x.t.p / (x.t.bits / {limit[0]!r}D))) * {SCALE})) >= {limit[1]}),"
-        " x -> struct(x.start AS start, 3 AS rank, x.end AS end))"
-    )
+    slim = "transform(_base, x -> struct(x.start AS start, x.rank AS rank, x.end AS end))"
+    outside = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    tested = F.expr(f"filter(transform(_tokens, w -> struct(w.start AS start, w.end AS end, {_tested('w.match')} AS t)), x -> x.t.fit >= {FIT})")
+    df = df.withColumn("_base", base).withColumn("_tokens", outside).withColumn("_tested", F.when(F.size("_tokens") > 0, tested).otherwise(F.expr("filter(array(struct(0 AS start, 0 AS end, struct(0D AS bits, 0D AS fit, 0D AS p) AS t)), x -> false)")))
+    return df.select("row", F.expr(slim).alias("base"), "_tested")
+
+
+def annotate(docs: DataFrame, *, text_column: str = "text", fdr: float = FDR) -> DataFrame:
+    """docs with ``spans``: array of (start, end, kind), sorted."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    tokens = _scanned(rows.where(F.col("_text").rlike(TOKEN))).select(F.explode("_tested.t").alias("t")).select("t.bits", "t.p")
+    mean, least = _step_up(tokens, fdr)
+    random = F.expr(f"transform(filter(_tested, x -> {_bin('x.t.p', 'x.t.bits', mean)} >= {least}), x -> struct(x.start AS start, 3 AS rank, x.end AS end))")
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    return df.withColumn("_all", F.array_sort(F.concat("_base", random))).withColumn(
-        "spans", F.expr(f"transform(_all, x -> struct(x.start AS start, x.end AS end, {kinds}[x.rank] AS kind))")
-    ).drop("_all", "_base", "_tested")
+    found = _scanned(rows).withColumn("_all", F.array_sort(F.concat("base", random)))
+    spans = F.expr(f"transform(_all, x -> struct(x.start AS start, x.end AS end, {kinds}[x.rank] AS kind))")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "spans"], spans.alias("spans"))
+
+
+def _bin(p: str, bits: str, mean: float) -> str:
+    """The bin of -log10 of a weighted p-value."""
+    return f"CAST(least({BINS - 1}, greatest(0, floor(-log10(greatest(1e-300D, {p} / ({bits} / {mean!r}D))) * {SCALE}))) AS INT)"
 
 
 def _step_up(tokens: DataFrame, fdr: float) -> tuple[float, int]:
     """Mean bits, and the least bin of -log10(weighted p) whose tokens are discoveries."""
+    tokens = cut(tokens, "tokens")
     mean = tokens.agg(F.avg("bits")).first()[0] or 1.0
-    bins = dict(
-        tokens.select(F.expr(f"least({BINS - 1}, floor(-log10(greatest(1e-300D, p / (bits / {mean!r}D))) * {SCALE}))").alias("bin"))
-        .groupBy("bin").count().collect()
-    )
+    bins = dict(tokens.select(F.expr(_bin("p", "bits", mean)).alias("bin")).groupBy("bin").count().collect())
+    dropped(tokens)
     total, above, least = sum(bins.values()), 0, BINS
     for b in range(BINS - 1, -1, -1):
         above += bins.get(b, 0)
@@ -179,24 +206,24 @@ def _step_up(tokens: DataFrame, fdr: float) -> tuple[float, int]:
 
 def redact(docs: DataFrame, *, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs, their secrets replaced by ``mask``; spans that meet are replaced as one."""
-    df = annotate(docs, text_column=text_column)
-    merged = F.expr(
+    found = annotate(docs, text_column=text_column)
+    merged = (
         "aggregate(spans, CAST(array() AS array<struct<start:int,end:int>>), (acc, x) ->"
         " if(size(acc) > 0 AND get(acc, size(acc) - 1).end >= x.start,"
         " array_append(slice(acc, 1, size(acc) - 1), struct(get(acc, size(acc) - 1).start AS start, greatest(get(acc, size(acc) - 1).end, x.end) AS end)),"
         " array_append(acc, struct(x.start AS start, x.end AS end))))"
     )
+    # the text and its merged spans as lambda variables, so that no column of the input can be meant
     kept = (
-        f"array_join(transform(sequence(0, size(_merged)), i -> substr({text_column},"
-        " if(i = 0, 1, get(_merged, i - 1).end + 1),"
-        f" if(i = size(_merged), length({text_column}), get(_merged, i).start) - if(i = 0, 0, get(_merged, i - 1).end))), '{mask}')"
+        f"get(transform(array(struct(`{text_column}` AS text, {merged} AS m)), t -> array_join(transform(sequence(0, size(t.m)), i -> substr(t.text,"
+        " if(i = 0, 1, get(t.m, i - 1).end + 1),"
+        f" if(i = size(t.m), length(t.text), get(t.m, i).start) - if(i = 0, 0, get(t.m, i - 1).end))), '{mask}')), 0)"
     )
-    df = df.withColumn("_merged", merged)
-    return df.withColumn(text_column, F.when(F.size("_merged") > 0, F.expr(kept)).otherwise(F.col(text_column))).drop("_merged", "spans")
+    return found.withColumn(text_column, F.when(F.size("spans") > 0, F.expr(kept)).otherwise(F.col(text_column))).drop("spans")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda array: f"array_join(transform({array}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     count = lambda kind: F.expr(f"CAST(size(filter(spans, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
     return found.select(

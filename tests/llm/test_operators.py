@@ -44,8 +44,9 @@ def test_secret_spans_equal_brute_force(spark):
         base = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] != "random"]
         assert base == brute_spans(texts[r["doc_id"]])
     assert secrets.annotate(docs(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        secrets.annotate(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, spans string"))
+    clash = spark.createDataFrame([(1, "token=abcdef", "b", "c", "d")], "doc_id long, text string, spans string, _text string, _base string")
+    row = secrets.annotate(clash).first()
+    assert (row["_text"], row["_base"], len(row["spans"])) == ("c", "d", 1) and secrets.redact(clash).first()["text"] == "[SECRET]"
 
 
 def test_random_tokens_are_found_and_words_are_not(spark):

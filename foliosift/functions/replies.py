@@ -23,15 +23,20 @@ def id_list(reply: str, fallback: str = DIGITS) -> list[str]:
     return found if isinstance(found, list) and all(isinstance(x, str) for x in found) else []
 
 
-def id_list_column(reply: Column) -> Column:
-    """id_list with its digits fallback, for a column of replies. from_json alone would turn
-    numbers into strings and accept what follows the list, so the whole form is checked."""
-    string = r'"(?:[^"\\]|\\.)*"'
-    is_list = reply.rlike(rf"(?s)^\s*\[\s*(?:{string}\s*(?:,\s*{string}\s*)*)?\]\s*$")
-    whole = reply.rlike(r"(?s)^\s*(?:\{.*\}|\[.*\]|-?[0-9][0-9.eE+-]*|true|false|null)\s*$") | reply.rlike(rf"(?s)^\s*{string}\s*$")
+STRING = r'"(?:[^"\\]|\\.)*+"'
+LIST = rf"\[\s*(?:{STRING}\s*(?:,\s*{STRING}\s*)*+)?\]"
+
+
+def id_list_column(reply: Column, fallback: str = DIGITS) -> Column:
+    """id_list for a column of replies. from_json alone would turn numbers into strings and
+    accept what follows the list, so the whole form is checked."""
+    is_list = reply.rlike(rf"(?s)^\s*{LIST}\s*$")
+    whole = reply.rlike(r"(?s)^\s*(?:\{.*\}|\[.*\]|-?[0-9][0-9.eE+-]*|true|false|null)\s*$") | reply.rlike(rf"(?s)^\s*{STRING}\s*$")
     looks_json = whole & F.try_parse_json(reply).isNotNull()
-    digits = F.filter(F.regexp_extract_all(reply, F.lit('"([^"]+)"'), F.lit(1)), lambda x: x.rlike("^[0-9]+$"))
-    return F.when(is_list, F.from_json(reply, "array<string>")).when(looks_json, F.array().cast("array<string>")).otherwise(F.coalesce(digits, F.array().cast("array<string>")))
+    quoted = F.regexp_extract_all(reply, F.lit("[\"'](.*?)[\"']" if fallback == QUOTES else '"([^"]+)"'), F.lit(1))
+    kept = F.filter(quoted, lambda x: x.rlike("^[0-9]+$") if fallback == DIGITS else F.trim(x) != "")
+    nothing = F.array().cast("array<string>")
+    return F.when(is_list, F.from_json(reply, "array<string>")).when(looks_json, nothing).otherwise(F.coalesce(kept, nothing))
 
 
 def section_choice(reply: str) -> dict[str, list[str]]:
@@ -49,6 +54,29 @@ def braces(reply: Column) -> Column:
     return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
 
 
+def section_choice_column(reply: Column) -> Column:
+    """section_choice for a column of replies; what isn't an object of lists of strings is an empty
+    map. from_json would turn [1] into ["1"], so the form is checked first."""
+    found = braces(F.coalesce(reply, F.lit("")))
+    entry = rf"{STRING}\s*:\s*{LIST}\s*"
+    ok = found.rlike(rf"(?s)^\{{\s*(?:{entry}(?:,\s*{entry})*+)?\}}$")
+    return F.when(ok, F.from_json(found, "map<string,array<string>>")).otherwise(F.create_map().cast("map<string,array<string>>"))
+
+
+def checked_arguments(reply: Column, required: dict[str, str], optional: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """arguments for a column of replies: an object whose named members have the types given as SQL
+    (STRING, BOOLEAN). Returns a struct of them and what is wrong, null where nothing is."""
+    parsed = F.try_parse_json(reply)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    wrong = F.when(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT<"), "arguments must be an object")
+    for name, sql in required.items():
+        wrong = wrong.when(F.coalesce(kind(name), F.lit("VOID")) != sql, f"{name} is missing or not {sql}")
+    for name, sql in (optional or {}).items():
+        wrong = wrong.when(~F.coalesce(kind(name), F.lit("VOID")).isin(sql, "VOID"), f"{name} is not {sql}")
+    members = [F.try_variant_get(parsed, f"$.{name}", sql.lower()).alias(name) for name, sql in {**required, **(optional or {})}.items()]
+    return F.when(wrong.isNull(), F.struct(*members)), wrong
+
+
 def arguments(reply: str, required: dict[str, type], optional: dict[str, type] | None = None) -> dict:
     """A tool call's arguments, checked; raises ValueError that says what is wrong."""
     found = json.loads(reply)

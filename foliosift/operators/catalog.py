@@ -22,13 +22,28 @@ def id_like(rows: DataFrame, part: str, column: str = "id") -> DataFrame:
     return rows.where(F.col(column).cast("string").contains(part))
 
 
+#: The columns of the wide scan.
+WIDE = [
+    "id", "document_source", "document_type", "document_name", "document_description", "document_usage", "date_created", "date_last_modified",
+    "file_name", "file_size", "file_path",
+]
+
+
+def wide(catalog: DataFrame, source: str) -> DataFrame:
+    return catalog.where(F.col("document_source") == source).select(*WIDE)
+
+
+def of_source_and_type(catalog: DataFrame, source: str, kind: str) -> DataFrame:
+    return catalog.where((F.col("document_source") == source) & (F.col("document_type") == kind))
+
+
 def counts(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """A reproducible random sample: the feature's n rows of least hash."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    """A reproducible random sample: the feature's n rows of least md5."""
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
 def share(rows: DataFrame, condition, name: str = "pct") -> DataFrame:

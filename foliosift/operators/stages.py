@@ -42,9 +42,11 @@ def by_category(stages: DataFrame, measures: list[str], setup: list[str]) -> Dat
     return kept.groupBy(category("stage").alias("category")).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def by_database(stages: DataFrame, measures: list[str]) -> DataFrame:
+def by_database(stages: DataFrame, measures: list[str], name: str | None = None) -> DataFrame:
+    """Sums of queries by source; with ``name`` also its least value, where several are possible."""
     source, _ = stage_parts("stage")
-    return stages.where(F.col("stage").startswith("db_query_")).groupBy(source.alias("source")).agg(*[F.sum(m).alias(m) for m in measures])
+    named = [F.min(name).alias(name)] if name else []
+    return stages.where(F.col("stage").startswith("db_query_")).groupBy(source.alias("source")).agg(*named, *[F.sum(m).alias(m) for m in measures])
 
 
 def labelled(stages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,9 +55,47 @@ def labelled(stages: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("label", "stage")).withColumn("place", F.coalesce("place", F.lit(LAST_RANK)))
 
 
-def elapsed(start: str, end: str) -> Column:
+def elapsed(start: str, end: str, now: Column | None = None) -> Column:
     """Seconds until the end, or until now while there is none."""
-    return (F.unix_micros(F.coalesce(F.col(end), F.current_timestamp())) - F.unix_micros(F.col(start))) / F.lit(1e6)
+    now = F.current_timestamp() if now is None else now
+    return (F.unix_micros(F.coalesce(F.col(end), now)) - F.unix_micros(F.col(start))) / F.lit(1e6)
+
+
+def by_label(stages: DataFrame, labels: DataFrame, measures: list[str]) -> DataFrame:
+    """Sums by stage and label, with the label's place."""
+    return labelled(stages.groupBy("stage").agg(*[F.sum(m).alias(m) for m in measures]), labels)
+
+
+def extent(events: DataFrame, since: str = "since", duration: str = "duration") -> DataFrame:
+    """Where the last stage ends on the axis; 1 where there is none."""
+    return events.agg(F.coalesce(F.max(F.col(since) + F.col(duration)), F.lit(1.0)).alias("extent"))
+
+
+def placed(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """Adds a row's place in its run; missing values come last."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_last() for c in order])).cast("long"))
+
+
+def first_match(rows: DataFrame, condition: Column, *order: str) -> DataFrame:
+    """The first row that meets a condition; the order has no ties."""
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
+def holds_any(rows: DataFrame, by: str, condition: Column, name: str = "any") -> DataFrame:
+    return rows.groupBy(by).agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias(name))
+
+
+def parsed_iso(c: str) -> Column:
+    """An instant from ISO text with an offset, in microseconds since 1970."""
+    return F.unix_micros(F.try_to_timestamp(F.col(c)))
+
+
+def debug_records(calls: DataFrame, by: str = "source") -> DataFrame:
+    """One JSON record per run: its usage, and the uses of each stage. Stages are few."""
+    per = calls.groupBy(by, "stage").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+    decisions = F.array_sort(F.collect_list(F.struct("stage", "calls"))).alias("decisions")
+    runs = per.groupBy(by).agg(F.sum("calls").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), decisions)
+    return runs.select(by, F.concat(F.lit("DEBUG_DATA:"), F.to_json(F.struct("calls", "prompt_tokens", "completion_tokens", "decisions"))).alias("record"))
 
 
 def latest_details(details: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
-"""A question from beginning to end. One plan per step covers all chosen sources."""
+"""A question from beginning to end. Sources are queried at the same time, one plan each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliosift.operators import assembly, report, selection
+from foliosift.packaged import ship
 from foliosift.plans import decisions as d
+from foliosift.plans.dispatch import as_they_end
 from foliosift.plans.monitor import Monitor
 
 NOT_BUILT = "This source isn't available yet."
@@ -21,9 +24,34 @@ def normalised(conversation, last: int = 10, with_system: bool = False) -> list[
     return [{"role": m["role"], "content": m["content"]} for m in messages if m.get("role") in roles and m.get("content") is not None][-last:]
 
 
+RESULTS = "source string, document_name string, pos long, answer string, ok boolean, error string"
+
+
 def extract(question: str, rows: DataFrame) -> DataFrame:
-    """The stand-in for a synthesis: a document's best sections, in its order."""
-    return rows.select("source", "document_name", "pos", F.left("content", F.lit(600)).alias("answer"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    """The stand-in for a synthesis: the chosen sections themselves, as they are."""
+    return rows.select("source", "document_name", "pos", F.col("content").alias("answer"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+
+def each_document(answer: Callable[[str, str, str], str]) -> Callable[[str, DataFrame], DataFrame]:
+    """A synthesis from ``answer(question, document name, content)``, called in tasks for one document
+    after another. A failure is that document's error row."""
+
+    def synthesise(question: str, rows: DataFrame) -> DataFrame:
+        ship(rows.sparkSession)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for r in frame.itertuples(index=False):
+                    try:
+                        out.append((r.source, r.document_name, r.pos, answer(question, r.document_name, r.content), True, None))
+                    except Exception as e:
+                        out.append((r.source, r.document_name, r.pos, None, False, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=["source", "document_name", "pos", "answer", "ok", "error"])
+
+        return rows.select("source", "document_name", "pos", "content").mapInPandas(run, RESULTS)
+
+    return synthesise
 
 
 def metadata(catalog: DataFrame, question: str) -> DataFrame:
@@ -31,21 +59,28 @@ def metadata(catalog: DataFrame, question: str) -> DataFrame:
     return selection.selected(catalog, chosen)
 
 
-def research(catalog: DataFrame, sections: DataFrame, question: str, synthesise: Callable = extract) -> DataFrame:
-    """Documents, then their sections by summary, then the contents of the chosen sections only."""
+def research(catalog: DataFrame, sections: DataFrame, question: str, synthesise: Callable = extract, per_document: int = selection.MOST) -> DataFrame:
+    """Documents, then their sections by summary, then the contents of the chosen sections only. A
+    document none of whose summaries shares a word with the question gives its first section."""
     chosen = selection.select_documents(catalog, question)
-    keys = catalog.join(chosen.select("id", "rank"), "id").select("id", "rank", *assembly.KEY)
-    best = selection.top(selection.scored(sections.join(keys, assembly.KEY), question, "section_content"), "document_name", "section_id", 2)
-    rows = best.select(F.col("document_source").alias("source"), "document_name", (F.col("id") * 10_000 + F.col("section_id")).alias("pos"), F.col("section_content").alias("content"))
+    mine = catalog.join(chosen.select("id"), "id").select("id", *assembly.KEY)
+    summaries = sections.select(*assembly.KEY, "section_id", "section_summary").join(mine, assembly.KEY)
+    best = selection.select_sections(summaries, question, per_document).select(*assembly.KEY, "section_id")
+    rest = mine.join(best.select(*assembly.KEY).distinct(), assembly.KEY, "left_anti")
+    first = summaries.join(rest.select("id"), "id", "left_semi").groupBy(*assembly.KEY).agg(F.min("section_id").alias("section_id"))
+    rows = sections.join(best.unionByName(first), [*assembly.KEY, "section_id"], "left_semi").join(mine, assembly.KEY)
+    rows = rows.select(F.col("document_source").alias("source"), "document_name", (F.col("id") * 10_000 + F.col("section_id")).alias("pos"), F.col("section_content").alias("content"))
     return synthesise(question, rows)
 
 
 def ask(
     spark: SparkSession, conversation, catalog: DataFrame, sections: DataFrame, sources: DataFrame, *, router: d.Router = d.route,
     clarifier: d.Clarifier = d.clarify, planner: d.Planner = d.plan, answer: Callable[[list[dict]], Iterator[str]] | None = None,
-    synthesise: Callable = extract, monitor: Monitor | None = None,
+    synthesise: Callable = extract, summarise: Callable[[str], Iterator[str]] | None = None, monitor: Monitor | None = None,
 ) -> Iterator[str]:
-    """Yields the answer in chunks: a plan, a line per source, then a listing or the reports."""
+    """Yields the answer in chunks: a plan, a line per source as its query ends, then a listing, or
+    the reports, or with ``summarise`` what it makes of their context. A source that fails has its
+    line and an error in place of its report, and the others go on."""
     monitor = monitor or Monitor(enabled=False)
     messages = normalised(conversation)
     with monitor.stage("route"):
@@ -64,21 +99,49 @@ def ask(
     with monitor.stage("plan"):
         keys = d.checked_plan(planner(need.output, known), known)
     by_key = {s["key"]: s for s in known}
-    names = ", ".join(by_key[k]["display_name"] for k in keys)
-    yield f"{'Listing' if need.scope == d.METADATA else 'Researching'} in {names}.\n"
-    values = {by_key[k]["source_value"]: k for k in keys if by_key[k]["implemented"]}
+    name = {k: by_key[k]["display_name"] for k in keys}
+    yield f"{'Listing' if need.scope == d.METADATA else 'Researching'} in {', '.join(name.values())}.\n"
+
+    def job(key: str) -> Callable:
+        own = lambda df: df.where(F.col("document_source") == by_key[key]["source_value"])
+
+        def run() -> list:
+            with monitor.stage(f"db_query_{key}_0", scope=need.scope):
+                found = metadata(own(catalog), need.output) if need.scope == d.METADATA else research(own(catalog), own(sections), need.output, synthesise)
+                return found.collect()  # at most MOST documents of a source
+
+        return run
+
+    ended: dict[str, tuple[list, str | None]] = {}
+    for key, rows, error in as_they_end({k: job(k) for k in keys if by_key[k]["implemented"]}):
+        ended[key] = (rows or [], error)
+        counted = f"{len(rows)} item(s)" if rows and need.scope == d.METADATA else f"{len({r['document_name'] for r in rows})} document(s)" if rows else "nothing found"
+        yield f"{name[key]}: {f'failed ({error})' if error else counted}\n"
     for k in keys:
         if not by_key[k]["implemented"]:
-            yield f"{by_key[k]['display_name']}: {NOT_BUILT if need.scope == d.FULL else 'no items'}\n"
-    mine = catalog.where(F.col("document_source").isin(list(values)))
-    plan = spark.createDataFrame([(v,) for v in values], "source string")
-    with monitor.stage("query", scope=need.scope):
-        if need.scope == d.METADATA:
-            found = metadata(mine, need.output)
-            results = found.select(F.col("document_source").alias("source"), "document_name", F.col("id").alias("pos"), F.lit(None).cast("string").alias("error"))
-            for row in report.listing(plan, results).orderBy("source").collect():
-                yield f"{by_key[values[row['source']]]['display_name']}: {row['line']}\n"
+            yield f"{name[k]}: {NOT_BUILT if need.scope == d.FULL else 'no items'}\n"
+    reports = []
+    for key, (rows, error) in sorted(ended.items(), key=lambda e: keys.index(e[0])):
+        if error:
+            body = f"This source failed: {error}"
+        elif need.scope == d.METADATA:
+            body = report.listed_names([r["document_name"] for r in rows])
         else:
-            found = research(mine, sections.where(F.col("document_source").isin(list(values))), need.output, synthesise)
-            for row in plan.join(report.reports(found), "source", "left").orderBy("source").collect():
-                yield f"## {by_key[values[row['source']]]['display_name']}\n{row['report'] or 'No documents were found.'}\n"
+            told = [f"### {r['document_name']}\n{r['answer'] or 'No answer' if r['ok'] else 'Failed: ' + r['error']}" for r in sorted(rows, key=lambda r: r["pos"])]
+            body = "\n\n".join(told) or "No documents were found."
+        reports.append((key, name[key], body))
+    if summarise and need.scope == d.FULL:
+        with monitor.stage("summarise"):
+            table = spark.createDataFrame(reports, "source string, display_name string, report string")
+            yield from summarise(report.summary_context(table, [name[k] for k in keys]).first()["context"])
+        return
+    for _, display, body in reports:
+        yield f"{display}: {body}\n" if need.scope == d.METADATA else f"## {display}\n{body}\n"
+
+
+def answered(*args, **kwargs) -> Iterator[str]:
+    """ask, for a caller that wants text whatever happens: an error ends it with a line that names it."""
+    try:
+        yield from ask(*args, **kwargs)
+    except Exception as e:
+        yield f"\nThe question can't be answered: {type(e).__name__}: {e}\n"

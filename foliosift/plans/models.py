@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
+from threading import BoundedSemaphore
 
 ATTEMPTS, DELAY, TIMEOUT = 3, 2.0, 180.0
 
@@ -27,6 +28,13 @@ class Adapter:
     attempts: int = ATTEMPTS
     delay: float = DELAY
     usage: list[tuple] = field(default_factory=list)
+    #: ``stream_call(config, prompt, timeout)`` yields chunks and returns prompt and completion tokens.
+    stream_call: Callable[[ModelConfig, str, float], Generator[str, None, tuple[int, int]]] | None = None
+    #: Calls that may be open at once.
+    at_once: int = 4
+
+    def __post_init__(self):
+        self._open = BoundedSemaphore(self.at_once)
 
     def complete(self, capability: str, prompt: str, stage: str, source: str = "") -> str:
         if capability not in self.configs:
@@ -34,7 +42,8 @@ class Adapter:
         config = self.configs[capability]
         for attempt in range(1, self.attempts + 1):
             try:
-                text, n_in, n_out = self.call(config, prompt, TIMEOUT)
+                with self._open:
+                    text, n_in, n_out = self.call(config, prompt, TIMEOUT)
             except Exception:
                 self.usage.append((len(self.usage), stage, source, 0, 0, config.prompt_cost, config.completion_cost, False))
                 if attempt == self.attempts:
@@ -45,6 +54,18 @@ class Adapter:
                 return text
         raise AssertionError("unreachable")
 
-    def stream(self, capability: str, prompt: str, stage: str) -> Iterator[str]:
-        for line in self.complete(capability, prompt, stage).splitlines(keepends=True):
-            yield line
+    def stream(self, capability: str, prompt: str, stage: str, source: str = "") -> Iterator[str]:
+        """Chunks as they come; the usage is known at the end, and noted also where the caller stops
+        or the model fails before it. Without ``stream_call``, the lines of a finished text."""
+        if self.stream_call is None:
+            yield from self.complete(capability, prompt, stage, source).splitlines(keepends=True)
+            return
+        if capability not in self.configs:
+            raise ValueError(f"no model for {capability}")
+        config, n_in, n_out, ok = self.configs[capability], 0, 0, False
+        try:
+            with self._open:
+                n_in, n_out = yield from self.stream_call(config, prompt, TIMEOUT)
+            ok = True
+        finally:
+            self.usage.append((len(self.usage), stage, source, n_in, n_out, config.prompt_cost, config.completion_cost, ok))

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliosift.functions import fiscal, replies, text
 from foliosift.operators import assembly, catalog as cat, conversation, profile, report, selection, stages, usage
+from foliosift.register import ORACLES, QUERIES, query
 from foliosift.sources import registry, tables
-
-QUESTION = "the thing that was with and other en de que worthless"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-CATALOG = "catalog AS (SELECT doc_id AS id, source AS document_source, lang AS document_type, 'doc_' || doc_id AS document_name, nullif(text, '') AS document_description, n_chars FROM documents)"
-SECTIONS = """sections AS (SELECT source AS document_source, lang AS document_type, 'doc_' || doc_id AS document_name, CAST(pos AS INTEGER) AS section_id,
-  CASE WHEN pos > 0 THEN 'Part ' || pos END AS section_name, nullif(left(substr(text, pos * 1000 + 1, 1000), 80), '') AS section_summary, substr(text, pos * 1000 + 1, 1000) AS section_content
-  FROM (SELECT *, unnest(generate_series(0, greatest((length(text) - 1) // 1000, 0))) AS pos FROM documents))"""
-CALLS = """calls AS (SELECT event_id AS call_id, event_type AS stage, 'src_' || (user_id % 11) AS source, ts, value, event_id % 997 AS prompt_tokens, event_id % 331 AS completion_tokens,
-  CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS prompt_cost, 1.5::DOUBLE AS completion_cost, event_id % 13 <> 0 AS ok, props FROM events)"""
-COST = "(prompt_tokens / 1000.0::DOUBLE * prompt_cost + completion_tokens / 1000.0::DOUBLE * completion_cost)"
-TITLE = "coalesce(nullif(section_name, ''), 'Section ' || section_id)"
-TERMS = ", ".join(f"'{w}'" for w in sorted(set(QUESTION.split())))
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from foliosift.views import CALLS, CATALOG, COST, MEASURES, QUESTION, SECTIONS, TERMS, TITLE
 
 
 @query(f"WITH {CATALOG} SELECT CAST(id AS VARCHAR) AS id, document_name, document_description FROM catalog WHERE document_source = 'src0'")
@@ -76,7 +51,7 @@ def id_form_share(spark, d):
     return cat.share(tables.catalog(spark, d), F.coalesce(c.rlike("^[0-9]+$") | c.startswith("Th"), F.lit(False)))
 
 
-@query()
+@query("SELECT doc_id AS id, 'doc_' || doc_id AS document_name FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 10")
 def random_sample(spark, d):
     return cat.sample(tables.catalog(spark, d), 10).select("id", "document_name")
 
@@ -111,14 +86,16 @@ def section_summaries(spark, d):
 @query(f"""WITH {SECTIONS} SELECT document_name, section_id, section_content FROM sections JOIN labels ON document_name = 'doc_' || doc_id WHERE quality = 1 AND section_id IN (0, 2)""")
 def selected_sections(spark, d):
     labels = tables.read(spark, d, "labels")
-    choice = labels.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_name"), F.when(F.col("quality") == 1, F.array(F.lit("0"), F.lit("2"))).otherwise(F.array(F.lit("0"), F.lit("first"))).alias("section_ids"))
+    keyed = tables.catalog(spark, d).select(*assembly.KEY, F.col("id").alias("doc_id")).join(labels, "doc_id")
+    choice = keyed.select(*assembly.KEY, F.when(F.col("quality") == 1, F.array(F.lit("0"), F.lit("2"))).otherwise(F.array(F.lit("0"), F.lit("first"))).alias("section_ids"))
     return assembly.chosen_sections(tables.sections(spark, d), choice).select("document_name", "section_id", "section_content")
 
 
-@query("SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+@query(f"""WITH {CATALOG}, {SECTIONS} SELECT s.document_source, s.document_name, s.section_id, s.section_name, CAST(length(s.section_content) AS BIGINT) AS content_length
+FROM sections s JOIN catalog c ON s.document_name = c.document_name AND s.document_source = c.document_source""")
 def join_two_key(spark, d):
-    docs, labels = tables.read(spark, d, "documents"), tables.read(spark, d, "labels")
-    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"))
+    rows = assembly.named(tables.catalog(spark, d), tables.sections(spark, d))
+    return rows.select("document_source", "document_name", "section_id", "section_name", F.length("section_content").cast("long").alias("content_length"))
 
 
 @query(f"WITH {CATALOG}, {SECTIONS} SELECT document_name, count(section_id) AS n FROM catalog JOIN sections USING (document_source, document_type, document_name) GROUP BY document_name")
@@ -134,9 +111,9 @@ def display_name_lookup(spark, d):
     return registry.display_names(rows, names).select("c_custkey", "display_name")
 
 
-@query(f"""WITH {CATALOG} SELECT document_source, trim(string_agg('id: ' || id || chr(10) || 'name: ' || document_name || chr(10) || 'description: ' || coalesce(document_description, 'none') || chr(10), chr(10) ORDER BY id), chr(10) || chr(9) || ' ') AS text FROM catalog GROUP BY document_source""")
+@query(f"""WITH {CATALOG} SELECT document_source, id // 1000 AS piece, trim(string_agg('id: ' || id || chr(10) || 'name: ' || document_name || chr(10) || 'description: ' || coalesce(document_description, 'none') || chr(10), chr(10) ORDER BY id), chr(10) || chr(9) || ' ') AS text FROM catalog GROUP BY ALL""")
 def catalog_text_report(spark, d):
-    return assembly.text_of(tables.catalog(spark, d), ["document_source"], assembly.catalog_line(), ["id"])
+    return assembly.pieces_of(tables.catalog(spark, d), ["document_source"], assembly.catalog_line(), "id")
 
 
 @query(f"""WITH {CATALOG}, {SECTIONS} SELECT id, document_name, '# ' || document_name || chr(10) || chr(10) || trim(string_agg('## ' || {TITLE} || chr(10) || section_content || chr(10), chr(10) ORDER BY section_id), chr(10) || chr(9) || ' ') || chr(10) || chr(10) || '---' AS text
@@ -169,10 +146,15 @@ def parse_id_list(spark, d):
     return rows.select("event_id", F.array_join(replies.id_list_column(F.col("reply")), ",").alias("ids"))
 
 
-@query("SELECT event_id, props AS braces FROM events")
+#: Replies of every form: two lists, none, numbers, a string for a list, two objects, broken JSON, no brace, an empty object.
+_MAPS = """CASE {x} % 8 WHEN 0 THEN 'Sure:\n{{"doc_' || {x} || '": ["0", "' || ({x} % 5) || '"], "b": []}}\nDone' WHEN 1 THEN 'none' WHEN 2 THEN '{{"a": [1]}}' WHEN 3 THEN '{{"a": "' || {x} || '"}}' WHEN 4 THEN '{{"a": ["1"]}} and {{"b": ["2"]}}' WHEN 5 THEN '{{"a": ["1"' WHEN 6 THEN '{{ "d\u00e9 ' || {x} || '" : [ "x, y" , "z" ] }}' ELSE '{{}}' END"""
+
+
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'b=;doc_' || event_id || '=0|' || (event_id % 5) WHEN 6 THEN 'd\u00e9 ' || event_id || '=x, y|z' ELSE '' END AS choice FROM events")
 def parse_section_map(spark, d):
-    rows = tables.read(spark, d, "events").select("event_id", F.concat(F.lit("Sure:\n"), "props", F.lit("\nDone")).alias("reply"))
-    return rows.select("event_id", replies.braces(F.col("reply")).alias("braces"))
+    rows = tables.read(spark, d, "events").select("event_id", F.expr(_MAPS.format(x="event_id").replace("\n", "\\n")).alias("reply"))
+    entries = F.array_sort(F.map_entries(replies.section_choice_column(F.col("reply"))))
+    return rows.select("event_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";").alias("choice"))
 
 
 _TOKENS = "CAST(length(coalesce(section_content, '')) // 4 AS BIGINT)"
@@ -282,14 +264,23 @@ def stage_category_rollup(spark, d):
     return stages.by_category(_named_stages(spark, d), ["prompt_tokens", "completion_tokens"], ["error", "signup"])
 
 
-@query(f"""WITH {CALLS} SELECT 'internal_' || stage AS source, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM calls WHERE call_id % 3 <> 0 GROUP BY stage""")
+@query(f"""WITH {CALLS} SELECT 'internal_' || stage AS source, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens, round(sum({COST}), 6) AS cost, sum(call_id % 17 / 2.0::DOUBLE) AS duration FROM calls WHERE call_id % 3 <> 0 GROUP BY stage""")
 def stage_by_database(spark, d):
-    return stages.by_database(_named_stages(spark, d), ["prompt_tokens"])
+    return stages.by_database(_named_stages(spark, d), MEASURES).withColumn("cost", F.round("cost", 6))
+
+
+@query(f"""WITH {CALLS} SELECT 'internal_' || stage AS source, min('label ' || call_id % 7) AS display_name, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens, round(sum({COST}), 6) AS cost FROM calls WHERE call_id % 3 <> 0 GROUP BY stage""")
+def named_stage_by_database(spark, d):
+    rows = _named_stages(spark, d).withColumn("display_name", F.concat(F.lit("label "), (F.col("call_id") % 7).cast("string")))
+    return stages.by_database(rows, MEASURES[:4], "display_name").withColumn("cost", F.round("cost", 6))
 
 
 def _named_stages(spark, d):
     name = F.when(F.col("call_id") % 3 == 0, F.col("stage")).otherwise(F.concat(F.lit("db_query_internal_"), "stage", F.lit("_"), (F.col("call_id") % 4).cast("string")))
-    return tables.calls(spark, d).withColumn("stage", name)
+    rows = tables.calls(spark, d).withColumn("stage", name)
+    return rows.withColumns({"total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"), "cost": usage.cost(), "duration": F.col("call_id") % 17 / F.lit(2.0)})
 
 
 @query("""SELECT event_id, user_id, end_ts, greatest(0.01::DOUBLE, (epoch_us(end_ts) - epoch_us(ts)) / 1e6::DOUBLE) AS duration, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6::DOUBLE AS since FROM (
@@ -324,7 +315,7 @@ def unique_results(spark, d):
 SELECT source, coalesce(n, 0) AS n, coalesce(names, 0) AS names FROM plan LEFT JOIN per USING (source)""")
 def results_with_empty(spark, d):
     plan = spark.range(14).select(F.concat(F.lit("src_"), F.col("id").cast("string")).alias("source"))
-    return report.complete(plan, _results(spark, d)).withColumn("names", F.size("names").cast("long"))
+    return report.complete(plan, _results(spark, d)).select("source", "n", F.col("different").alias("names"))
 
 
 @query(f"WITH {CALLS} SELECT call_id, json_extract_string(props, '$.k') AS k FROM calls")
@@ -345,6 +336,14 @@ def human_list(spark, d):
     return per.select("source", text.listed("langs").alias("langs"))
 
 
-@query()
+_REGISTRY = "registry(key, display_name, description, use_when) AS (VALUES " + ", ".join("(" + ", ".join(f"'{r[i]}'" for i in (0, 2, 3, 6)) + ")" for r in registry.DEFAULT) + ")"
+
+
+@query(f"""WITH {_REGISTRY} SELECT string_agg('<source id="' || key || '" name="' || display_name || '">' || chr(10) || '  ' || description || chr(10) || '  Use when: ' || use_when || chr(10) || '</source>',
+chr(10) ORDER BY starts_with(key, 'external_'), key) AS statement FROM registry""")
 def source_statement(spark, d):
     return registry.statement(registry.registry(spark))
+
+
+# the other queries register themselves
+from foliosift import queries_runs, queries_store  # noqa: E402, F401

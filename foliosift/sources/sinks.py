@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Ranges that rows are numbered in.
+RANGES = 64
+
+
+def loaded(df: DataFrame, schema: StructType, *keys: str) -> DataFrame:
+    """Rows for a table of the store: its columns in its order, numbered by the keys; what is missing is null."""
+    return shaped(numbered(df.drop("id"), *keys), schema)
+
+
 def shaped(df: DataFrame, schema: StructType) -> DataFrame:
     """df with the schema's columns, in its order; what is missing is null."""
     have = set(df.columns)
@@ -16,14 +25,24 @@ def shaped(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def numbered(df: DataFrame, *keys: str, after: int = 0, name: str = "id") -> DataFrame:
-    """Adds reproducible ids: counts per range of the sorted keys, then a number within each.
-    No window spans all rows."""
+    """Adds reproducible ids. Rows are counted by ranges of the keys, whose bounds are literals in
+    both the count and the numbering, then numbered within each. No window spans all rows."""
     order = [F.col(k).asc_nulls_last() for k in keys]
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    begins = counts.withColumn("_begin", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_begin", F.lit(0)).alias("_begin"))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return part.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + at + after).drop("_part", "_begin")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    place = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"_no_{k}"), F.col(k).alias(k))])
+    some = df.select(place.alias("p")).orderBy(F.md5(F.to_json("p"))).limit(RANGES - 1).select("p").distinct().collect()
+    bound = lambda r: F.struct(*[x for k in keys for x in (F.lit(r["p"][f"_no_{k}"]), F.lit(r["p"][k]).cast(kinds[k]))])
+    at = F.lit(0)
+    for r in some:
+        at = at + F.when(place >= bound(r), 1).otherwise(0)
+    part = df.withColumn("_part", at)
+    counts = {r["_part"]: r["count"] for r in part.groupBy("_part").count().collect()}  # RANGES + 1 rows at most
+    begins, begin = {}, after
+    for p in sorted(counts):
+        begins[p], begin = begin, begin + counts[p]
+    start = F.create_map(*[x for p, n in begins.items() for x in (F.lit(p), F.lit(n))])[F.col("_part")] if begins else F.lit(after)
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.withColumn(name, (start + number).cast("long")).drop("_part")
 
 
 def save(df: DataFrame, path: str, *, append: bool = False) -> int:
@@ -45,5 +64,6 @@ def save(df: DataFrame, path: str, *, append: bool = False) -> int:
     return spark.read.parquet(path).count()
 
 
-def as_json(df: DataFrame, name: str = "json") -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+def as_json(df: DataFrame, name: str = "json", keep: list[str] = ()) -> DataFrame:
+    """Rows as JSON; ``keep`` stay columns of their own."""
+    return df.select(*keep, F.to_json(F.struct(*[c for c in df.columns if c not in keep])).alias(name))

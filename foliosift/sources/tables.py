@@ -34,6 +34,24 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a catalog with what is known of their files."""
+    docs = read(spark, sf_dir, "documents")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    day = lambda start, n: F.date_add(F.lit(start).cast("date"), (F.col("doc_id") % n).cast("int")).cast("timestamp")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("document_source"), F.col("lang").alias("document_type"), name.alias("document_name"),
+        F.nullif("text", F.lit("")).alias("document_description"), F.lit("reference").alias("document_usage"), day("2024-01-01", 300).alias("date_created"),
+        day("2024-06-01", 100).alias("date_last_modified"), F.concat(name, F.lit(".txt")).alias("file_name"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("file_size"), F.concat(F.lit("/"), "source", F.lit("/"), name, F.lit(".txt")).alias("file_path"),
+    )
+
+
+def sql(spark: SparkSession, statement: str, **frames: DataFrame) -> DataFrame:
+    """A statement over tables named in braces, as {sections}."""
+    return spark.sql(statement, **frames)
+
+
 def sections(spark: SparkSession, sf_dir: str, chars: int = SECTION_CHARS) -> DataFrame:
     """documents in sections of so many characters; the first has no name."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from foliosift.functions import fiscal, replies, text
 from foliosift.operators import assembly, catalog, profile, report, selection, stages
 from foliosift.plans import decisions as d
-from foliosift.plans.ask import ask
+from foliosift.plans.ask import answered, ask, each_document, extract
 from foliosift.plans.models import Adapter, ModelConfig
 from foliosift.plans.monitor import Monitor
-from foliosift.sources import registry, sinks
+from foliosift.plans.prompts import prompt
+from foliosift.sources import registry, sinks, tables
 from foliosift.streaming.events import usage_by_window
 
 SECTION = "document_source string, document_type string, document_name string, section_id int, section_name string, section_summary string, section_content string"
@@ -59,8 +60,9 @@ def test_assembly_orders_names_and_keeps_sources_apart(spark):
     assert got == {1: [(0, "Section 0", "one"), (1, "Section 1", "two")], 2: [(0, "B", "b")]}
     texts = {r["id"]: r["text"] for r in assembly.document_texts(cat, sec).collect()}
     assert texts[1] == "# same\n\n## Section 0\none\n\n## Section 1\ntwo\n\n---"
-    choice = spark.createDataFrame([("same", ["0", "x"])], "document_name string, section_ids array<string>")
-    assert assembly.chosen_sections(sec, choice).count() == 0
+    choice = lambda *ids: spark.createDataFrame([("a", "t", "same", list(ids))], "document_source string, document_type string, document_name string, section_ids array<string>")
+    assert assembly.chosen_sections(sec, choice("0", "x")).count() == 0
+    assert [r["section_content"] for r in assembly.chosen_sections(sec, choice("0")).collect()] == ["one"]
 
 
 def test_ids_are_compared_as_written(spark):
@@ -90,6 +92,18 @@ def test_rollover_and_labels(spark):
     assert rows[0] == 120.0
 
 
+def test_store_over_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/store;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, document_name string")
+    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "catalog").save()
+    got = tables.open_store(spark, url, "catalog", driver=driver)
+    assert sorted(tuple(r) for r in got.where("ID = 1").collect()) == [(1, "a")] and got.count() == 2
+    rows.write.parquet(f"{tmp_path}/sections.parquet")
+    assert tables.open_store(spark, str(tmp_path), "sections").count() == 2
+    rows.createOrReplaceTempView("seen_here")
+    assert tables.existing(spark, ["seen_here", "not_here"]) == ["seen_here"]
+
+
 def test_numbering_and_saving(spark, tmp_path):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
     assert {r["k"]: r["id"] for r in sinks.numbered(df, "k").collect()} == {"a": 1, "b": 2, "c": 3, None: 4}
@@ -117,7 +131,36 @@ def test_ask_lists_and_researches(spark):
     assert "1 item(s): Leases" in listed and "no items" in listed
     told = "".join(ask(spark, {"messages": [{"role": "user", "content": "explain how leases are treated"}]}, cat, sec, reg))
     assert "leases are treated so" in told and "No documents were found." in told
-    assert [r["status"] for r in monitor.table(spark).collect()] == ["done"] * 4
+    rows = monitor.table(spark).collect()
+    assert {r["status"] for r in rows} == {"done"} and {r["stage"] for r in rows} > {"route", "clarify", "plan", "db_query_internal_policy_0"}
+
+
+def test_a_failed_source_leaves_the_others(spark):
+    cat = spark.createDataFrame([(1, "policy", "t", "Leases", "leases"), (2, "wiki", "t", "Notes", "leases too")], CATALOG)
+    sec = spark.createDataFrame([("policy", "t", "Leases", 0, None, "of leases", "long text"), ("wiki", "t", "Notes", 0, None, None, "short")], SECTION)
+    reg, question = registry.registry(spark), [{"role": "user", "content": "explain how leases work"}]
+
+    both = lambda *_: ["internal_policy", "internal_wiki"]
+
+    def broken(_, rows):
+        if rows.where("source = 'wiki'").count():
+            raise OSError("no connection")
+        return extract(_, rows)
+
+    told = list(ask(spark, question, cat, sec, reg, planner=both, synthesise=broken))
+    assert any(c.startswith("Team wiki: failed (OSError: no connection)") for c in told) and "long text" in "".join(told) and "This source failed" in "".join(told)
+    per = "".join(ask(spark, question, cat, sec, reg, planner=both, synthesise=each_document(lambda q, name, text: f"{name} {len(text)}" if name == "Leases" else 1 / 0)))
+    assert "### Leases\nLeases 9" in per and "### Notes\nFailed: ZeroDivisionError" in per
+    seen = []
+    chunks = list(ask(spark, question, cat, sec, reg, planner=both, summarise=lambda context: seen.append(context) or iter(["in", " short"])))
+    assert chunks[-2:] == ["in", " short"] and seen[0].startswith("# Research\n\n1. ") and "long text" in seen[0]
+    assert "can't be answered: DecisionError" in "".join(answered(spark, question, cat, sec, reg, planner=lambda *_: d.checked_plan([], [])))
+
+
+def test_prompts():
+    assert prompt("plan", "c", sources="s", empty="").split("\n\n")[:2] == ["<context>\nc\n</context>", "<sources>\ns\n</sources>"]
+    with pytest.raises(ValueError):
+        prompt("nothing", "c")
 
 
 def test_adapter_retries_and_counts():
@@ -134,6 +177,17 @@ def test_adapter_retries_and_counts():
     with pytest.raises(ValueError):
         a.complete("large", "p", "route")
 
+    def chunks(config, prompt, timeout):
+        yield "a"
+        yield "b"
+        return 7, 2
+
+    a.stream_call = chunks
+    assert list(a.stream("small", "p", "summarise")) == ["a", "b"] and a.usage[-1][1:5] == ("summarise", "", 7, 2)
+    stopped = a.stream("small", "p", "summarise")
+    next(stopped), stopped.close()
+    assert a.usage[-1][-1] is False
+
 
 def test_stream_counts_events(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

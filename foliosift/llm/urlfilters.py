@@ -6,13 +6,16 @@ intervals don't overlap. A pattern is a host, a parent domain or a host with the
 first folder of a path. A capture asks for its own patterns at its fetch time; of
 the entries active then, the most specific decides, and "allow" wins a tie.
 
-The intervals are broadcast only after they were counted; above ``broadcast_rows`` the
-join is by pattern, where adaptive execution splits a busy host's captures.
+The as-of join: a pattern's intervals are one row, an array of a list's entries in their
+order, so a capture meets each of its patterns once, and the entries active at its time are
+picked within the row. The arrays are written once and broadcast while they have at most
+``broadcast_entries`` entries; above that the join is by pattern, where adaptive execution
+splits a busy host's captures.
 
 Defined results: a null or unreadable address, or a null fetch time, is not listed;
 several events of a pattern on one instant count as the last by action (remove);
 repeated captures each get a verdict; empty tables give no verdicts or no listings;
-the captures' other columns are kept and must not be named like the added ones.
+the captures' other columns are kept, and one named like an added column is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliosift.llm.common import table
+from foliosift.llm.common import cut, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -32,26 +35,31 @@ def intervals(log: DataFrame) -> DataFrame:
     return once.withColumn("valid_to", F.lead("happened").over(later)).where("action = 'add'").select("list", "pattern", F.col("happened").alias("valid_from"), "valid_to")
 
 
-def judge(captures: DataFrame, log: DataFrame, *, id_column: str = "page_id", url_column: str = "url", time_column: str = "fetched_at", broadcast_rows: int = 1_000_000) -> DataFrame:
+ADDED = ["host", "verdict", "pattern", "valid_from"]
+
+
+def judge(captures: DataFrame, log: DataFrame, *, url_column: str = "url", time_column: str = "fetched_at", broadcast_entries: int = 1_000_000) -> DataFrame:
     """captures with host, verdict (block, allow or none), pattern and valid_from of the deciding entry."""
-    held = intervals(log)
-    if held.count() <= broadcast_rows:
+    entry = F.struct((F.col("list") == "allow").alias("allow"), "valid_from", "valid_to", "list")
+    held = cut(intervals(log).groupBy("pattern").agg(F.sort_array(F.collect_list(entry)).alias("entries")), "intervals")
+    if (held.agg(F.sum(F.size("entries"))).first()[0] or 0) <= broadcast_entries:
         held = F.broadcast(held)
     patterns = (
-        "concat(array(struct(100 AS rank, concat(_host, _folder) AS pattern)),"
-        " transform(sequence(1, size(_labels)), i -> struct(100 - i AS rank, concat_ws('.', slice(_labels, i, size(_labels))) AS pattern)))"
-    )
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_column), F.lit("")), HOST, 1))
-    asked = captures.select(F.col(url_column).alias("_url"), F.col(time_column).alias("_t")).where("_url IS NOT NULL AND _t IS NOT NULL").distinct()
-    asked = asked.withColumns({"_host": F.lower(F.regexp_extract("_url", HOST, 1)), "_folder": F.regexp_extract("_url", r"^[^:]*://[^/?#]*(/[^/?#]*)", 1)})
-    asked = asked.where("_host <> ''").withColumn("_labels", F.split("_host", "[.]")).withColumn("_p", F.explode(F.expr(patterns)))
-    active = asked.select("_url", "_t", "_p.rank", "_p.pattern").join(held, "pattern").where("_t >= valid_from AND (valid_to IS NULL OR _t < valid_to)")
-    best = active.groupBy("_url", "_t").agg(F.max(F.struct("rank", (F.col("list") == "allow").alias("allow"), "valid_from", "pattern", "list")).alias("_b"))
-    out = captures.join(best, (F.col(url_column) == F.col("_url")) & (F.col(time_column) == F.col("_t")), "left")
-    return out.select(
-        *captures.columns, host.alias("host"), F.coalesce("_b.list", F.lit("none")).alias("verdict"),
-        F.col("_b.pattern").alias("pattern"), F.col("_b.valid_from").alias("valid_from"),
+        "concat(array(struct(100 AS rank, concat(host, folder) AS pattern)),"
+        " transform(sequence(1, size(labels)), i -> struct(100 - i AS rank, concat_ws('.', slice(labels, i, size(labels))) AS pattern)))"
     )
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+    whole = F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row")
+    rows = captures.select(whole, F.col(url_column).alias("url"), F.col(time_column).alias("t"))
+    asked = rows.select("url", "t").where("url IS NOT NULL AND t IS NOT NULL").distinct()
+    asked = asked.withColumns({"host": host, "folder": F.regexp_extract("url", r"^[^:]*://[^/?#]*(/[^/?#]*)", 1)})
+    asked = asked.where("host <> ''").withColumn("labels", F.split("host", "[.]")).withColumn("p", F.explode(F.expr(patterns)))
+    met = asked.select("url", "t", "p.rank", "p.pattern").join(held, "pattern")
+    active = F.expr("transform(filter(entries, e -> t >= e.valid_from AND (e.valid_to IS NULL OR t < e.valid_to)), e -> struct(rank, e.allow AS allow, e.valid_from AS valid_from, pattern, e.list AS list))")
+    best = met.select("url", "t", F.array_max(active).alias("b")).where("b IS NOT NULL").groupBy("url", "t").agg(F.max("b").alias("b"))
+    out = rows.join(best, ["url", "t"], "left")
+    kept = [F.col("row")[c].alias(c) for c in captures.columns if c not in ADDED]
+    return out.select(*kept, host.alias("host"), F.coalesce("b.list", F.lit("none")).alias("verdict"), F.col("b.pattern").alias("pattern"), F.col("b.valid_from").alias("valid_from"))
 
 
 #: The tables have no fetch times and no lists: both are derived from the addresses, the

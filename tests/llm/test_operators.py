@@ -151,7 +151,10 @@ def test_list_entries_hold_between_their_dates(spark):
       (4, 'http://u@A.example:80/x', DATE '2024-01-06'), (5, NULL, DATE '2024-01-06'), (6, 'no address', DATE '2024-01-06'), (7, 'http://a.example/x', NULL) AS t(page_id, url, fetched_at)""")
     want = {1: "none", 2: "block", 3: "block", 4: "allow", 5: "none", 6: "none", 7: "none"}
     for limit in (1_000_000, 0):
-        assert {r["page_id"]: r["verdict"] for r in urlfilters.judge(caps, log, broadcast_rows=limit).collect()} == want
+        assert {r["page_id"]: r["verdict"] for r in urlfilters.judge(caps, log, broadcast_entries=limit).collect()} == want
+    again = urlfilters.judge(caps.union(caps).withColumn("host", F.lit("mine")).withColumn("row", F.lit("r")).withColumn("t", F.lit("u")), log)
+    assert again.count() == 14 and again.columns == ["page_id", "url", "fetched_at", "row", "t", "host", "verdict", "pattern", "valid_from"]
+    assert again.where("page_id = 2 AND verdict = 'block' AND host = 'a.example' AND row = 'r' AND t = 'u'").count() == 2
     assert urlfilters.judge(caps.limit(0), log).count() == 0 and urlfilters.judge(caps, log.limit(0)).where("verdict <> 'none'").count() == 0
 
 
@@ -248,7 +251,37 @@ def test_shards_are_even_and_slots_gapless(spark, tmp_path):
     assert len(per) == 8 and all(r["n"] == r["m"] + 1 == r["d"] for r in per)
     assert max(r["s"] for r in per) - min(r["s"] for r in per) <= 400
     assert out.groupBy("text").agg(F.count_distinct("shard").alias("k")).where("k > 1").count() == 0
-    assert resharding.rewrite(out, str(tmp_path / "shards")) and resharding.reshard(docs(spark, []), F.lit(0), 8).count() == 0
+    assert resharding.reshard(docs(spark, []), F.lit(0), 8).count() == 0
+    touched = resharding.rewrite(out, str(tmp_path / "shards"), rows_per_file=20)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda df: sorted((r["shard"], r["slot"], r["doc_id"], r["text"] or "") for r in df.collect())
+    assert {6, 7} <= set(touched) and key(back) == key(out.where(F.col("shard").isin(touched)))
+
+
+def test_blocks_move_no_more_bytes_than_they_must():
+    rng = random.Random(8)
+    for _ in range(20):
+        olds, shards = rng.randint(1, 7), rng.randint(1, 9)
+        blocks = [(o, p, rng.choice([1, 5, 40, 300, 2000])) for o in range(olds) for p in range(rng.randint(0, 60))]
+        placed = resharding.place_blocks(blocks, shards)
+        supply, final, moved = [0] * max(olds, shards), [0] * max(olds, shards), 0
+        for o, p, size in blocks:
+            j = placed[o, p]
+            supply[o] += size
+            final[j] += size
+            moved += size * (o != j)
+        # the sizes reached can't be had from these supplies by moving less
+        assert moved == sum(max(0, s - f) for s, f in zip(supply, final)) and sum(final[:shards]) == sum(supply)
+
+
+def test_only_the_text_that_no_shard_holds_is_dealt(spark):
+    rows = [(i, "hot " * 50) for i in range(3000)] + [(5000 + i, f"small {i % 3}") for i in range(900)] + [(None, "small 1"), (1, "hot " * 50), (9000, None)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, size int, part int")
+    out = resharding.reshard(df, F.lit(0), 8, buckets=1)
+    per = [r["s"] for r in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(per) == 8 and max(per) - min(per) < 0.03 * sum(per) and out.columns == ["doc_id", "text", "part", "size", "text_crc32", "old_shard", "shard", "slot"]
+    spread = {r["text"]: r["k"] for r in out.groupBy("text").agg(F.count_distinct("shard").alias("k")).collect()}
+    assert spread.pop("hot " * 50) == 8 and set(spread.values()) == {1} and out.where("part <> 8 OR size > 201").count() == 0
 
 
 # 8 toxicity

@@ -161,17 +161,39 @@ def test_list_entries_hold_between_their_dates(spark):
 # 4 images
 
 
-def test_crops_are_found_and_flat_images_are_not(spark):
+def test_copies_are_found_and_flat_images_are_not(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(0, 40)]
-    rows += [(40, rows[0][1]), (60, [0.0] * 64), (80, None)]
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(0, 41)]
+    rows += [(41, rows[0][1]), (41, rows[0][1]), (60, [0.0] * 64), (80, None), (None, rows[3][1]), (100, rows[20][1])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     images = imagecopies.rendered(vectors)
     asked = imagecopies.edited(imagecopies.rendered(vectors.where("vec_id % 20 = 0")))
-    got = {(r["query_id"], r["image_id"]): r["members"] for r in imagecopies.copies(asked, images).collect()}
-    assert got == {(0, 0): 2, (20, 20): 1, (40, 0): 2}
-    bad = spark.createDataFrame([(1, None, 1, 1), (2, bytearray(b""), 0, 0), (3, bytearray(b"abc"), 9, 9)], "id long, pixels binary, width int, height int")
-    assert imagecopies.copies(bad, images).count() == 0 and imagecopies.copies(asked, images.limit(0)).count() == 0
+    key = lambda df: {(r["query_id"], r["image_id"]): r["members"] for r in df.collect()}
+    # 41 is there twice, 100 is 20 and has been edited in the same way or another
+    want = {(0, 0): 3, (20, 20): 2, (40, 40): 1, (100, 20): 2}
+    assert key(imagecopies.copies(asked, images)) == want == key(imagecopies.copies(asked, images.withColumn("query", F.lit(1)), broadcast_keys=0))
+    bad = spark.createDataFrame([(1, None, 1, 1), (2, bytearray(b""), 0, 0), (3, bytearray(b"abc"), 9, 9), (4, bytearray(b"x" * 441), 21, 21)], "id long, pixels binary, width int, height int")
+    assert imagecopies.copies(bad, images).count() == 0 and imagecopies.copies(asked, images.limit(0)).count() == 0 == imagecopies.copies(bad, bad).count()
+
+
+@pytest.mark.parametrize("kind", imagecopies.EDITS)
+def test_recall_of_edits_against_brute_force(kind):
+    """At least 0.9 of the copies have four matches within the radius in some table, as comparing all
+    descriptors of a pair finds for them; all pairs of corners are compared, without Spark."""
+    rng = np.random.default_rng(9)
+    i, j = np.mgrid[:24, :24]
+    found = brute = 0
+    for n in range(40):
+        v = rng.normal(size=64)
+        grey = v[(i * 7 + j * 13) % 64] * v[(i * 11 + j * 5 + 1) % 64] + 0.3 * v[(i * 3 + j) % 64]
+        image = np.rint((grey - grey.min()) / np.ptp(grey) * 255).astype(np.uint8).repeat(4, 0).repeat(4, 1)
+        q, b = imagecopies.describe(imagecopies.edit(image, kind, n)[None], imagecopies.FINE), imagecopies.describe(image[None], imagecopies.STEP)
+        q_bits, b_bits = (np.unpackbits(f[5], axis=1) for f in (q, b))
+        near = (q_bits[:, None] != b_bits[None]).sum(2) <= 56
+        met = np.any([(q_bits[:, c][:, None] == b_bits[:, c][None]).all(2) for c in imagecopies.CHOSEN], axis=0)
+        brute += (near.any(1).sum() >= 4)
+        found += ((near & met).any(1).sum() >= 4)
+    assert brute >= 36 and found >= 36
 
 
 # 5 packing

@@ -1,9 +1,12 @@
 """License scans by canonical digest.
 
 A text, each of its blocks (between blank lines) and each of its lines is put in
-canonical form: lower case, copyright lines left out, equivalent spellings made one,
-everything but letters and digits a single space. Its SHA-256 is joined with the
-digests of known licences and notices, so only entire texts match. ``KNOWN`` are the
+canonical form: lower case, copyright lines and "all rights reserved" left out, equivalent
+spellings made one, everything but letters and digits a single space. A copyright line has
+a year or a sign after the word, behind the leader of a comment or not; a wrapped sentence
+that goes on with "copyright holders" is none. Each line is put in form once; a block's form
+is that of its lines, a text's that of its blocks. Units as long as a known form are hashed,
+and their SHA-256 joined with the known ones, so only entire texts match. ``KNOWN`` are the
 published texts in ``license_texts``, their usual headers and notices, and a line for
 each SPDX identifier. Spellings that differ in punctuation alone are one: ``GPL-2.0+``
 is told as GPL-2.0.
@@ -109,7 +112,7 @@ def _published() -> list[tuple[str, str]]:
 
 def _all_known() -> list[tuple[str, str]]:
     """LICENSES and all others, whose form isn't yet there."""
-    form = lambda t: re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT, " ", t).lower()).strip()
+    form = lambda t: re.sub(r"[\W_]+", " ", re.sub(f"(?im){COPYRIGHT}", " ", t).lower()).strip()
     spdx = [(i, f"SPDX-License-Identifier: {i}") for i in sorted((TEXTS / "spdx.txt").read_text("utf-8").split(), key=lambda i: (i.endswith("+"), i))]
     seen: dict[str, tuple[str, str]] = {}
     for name, text in [*LICENSES, *_notices(), *_published(), *spdx]:
@@ -117,15 +120,20 @@ def _all_known() -> list[tuple[str, str]]:
     return list(seen.values())
 
 
-# Spellings held to be the same.
-SPELLINGS = [("licence", "license"), ("noncommercial", "non commercial"), ("sub license", "sublicense"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("favour", "favor"), ("fulfilment", "fulfillment")]
-COPYRIGHT = r"(?im)^[ \t]*(copyright\b|\(c\)|©).*$"
+# Spellings held to be the same. Words that are also written apart are taken apart, so that lines can be put in form one by one.
+SPELLINGS = [("licence", "license"), ("noncommercial", "non commercial"), ("sublicense", "sub license"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("favour", "favor"), ("fulfilment", "fulfillment")]
+LEADER = r"^[ \t]*(?:[#*;!%/-]+|dnl\b|rem\b|<!--)?[ \t/*#]*"
+COPYRIGHT = LEADER + r"(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[12][0-9][0-9][0-9]|<year|\[year|\[yyyy|\{yyyy)|\(c\)[ \t]*[12][0-9][0-9][0-9]|©|all rights reserved[. \t]*(?:\*/)?[ \t\r]*$)[^\n]*"
+BLANK = r"\n[ \t\r]*\n"
 
 KNOWN = _all_known()
 
 
-def canonical(text: Column) -> Column:
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " "))
+def canonical(line: Column) -> Column:
+    """The form of a line, or of a unit whose lines are all told apart by line feeds."""
+    low = F.lower(line)
+    # the pattern can only match where one of these is
+    out = F.when(low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("rights reserved"), F.regexp_replace(low, f"(?imd){COPYRIGHT}", " ")).otherwise(low)
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
@@ -133,18 +141,25 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licenses: list[tuple[str, str]]) -> DataFrame:
-    known = spark.createDataFrame(licenses, "license string, known_text string")
-    return known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("digest")).distinct()
+    known = spark.createDataFrame(licenses, "license string, known_text string").select("license", canonical(F.col("known_text")).alias("form"))
+    return known.select("license", F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).distinct()
 
 
 def scan(docs: DataFrame, licenses: list[tuple[str, str]] = KNOWN, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, license, unit (text, block or line: the widest that matches), n (units that match)."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    unit = lambda rank, parts: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), p.alias("part")))
-    units = F.concat(unit(0, F.array(text)), unit(1, F.split(text, r"\n[ \t]*\n")), unit(2, F.split(text, "\n")))
-    parts = docs.select(F.col(id_column).alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.rank", canonical(F.col("u.part")).alias("form")).where("form <> ''")
-    # the list of known texts is part of the code, so its size is bounded
-    hits = parts.withColumn("digest", F.sha2("form", 256)).join(F.broadcast(known_digests(docs.sparkSession, licenses)), "digest")
+    spark = docs.sparkSession
+    # as many rows as the list has entries
+    known = spark.createDataFrame(known_digests(spark, licenses).collect(), "license string, digest string, length int")
+    lengths = [r[0] for r in known.select("length").distinct().collect()]
+    blocks = F.transform(F.split(F.coalesce(F.col(text_column), F.lit("")), BLANK), lambda b: F.filter(F.transform(F.split(b, "\n"), canonical), lambda form: form != ""))
+    forms = docs.select(F.col(id_column).alias("doc_id"), blocks.alias("lines"))
+    forms = forms.select("doc_id", F.flatten("lines").alias("lines"), F.transform("lines", lambda b: F.array_join(b, " ")).alias("blocks"))
+    whole = F.array(F.array_join(F.filter("blocks", lambda b: b != ""), " "))
+    unit = lambda rank, parts: F.transform(F.filter(parts, lambda p: F.length(p).isin(lengths)), lambda p: F.struct(F.lit(rank).alias("rank"), p.alias("form")))
+    units = F.concat(unit(0, whole), unit(1, F.col("blocks")), unit(2, F.col("lines")))
+    parts = forms.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.rank", "u.form").where("form <> ''")
+    digests = known.select("license", "digest")
+    hits = parts.withColumn("digest", F.sha2("form", 256)).join(F.broadcast(digests) if len(licenses) <= 1_000_000 else digests, "digest")
     per = hits.groupBy("doc_id", "license", "rank").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "license")
     names = F.array(F.lit("text"), F.lit("block"), F.lit("line"))
     return per.agg(F.get(names, F.min("rank")).alias("unit"), F.max_by("n", "rank").alias("n"))
@@ -155,7 +170,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    form = "lower(regexp_replace(coalesce({0}, ''), '(?im)^[ \\t]*(copyright\\b|\\(c\\)|©).*$', ' ', 'g'))"
+    form = "regexp_replace(lower(coalesce({0}, '')), '(?im)" + COPYRIGHT + "', ' ', 'g')"
     form = "trim(regexp_replace(" + form + r", '[^\p{L}\p{N}]+', ' ', 'g'))"
     for other, one in SPELLINGS:
         form = f"replace({form}, '{other}', '{one}')"
@@ -164,7 +179,7 @@ def _oracle() -> str:
 WITH known AS (SELECT DISTINCT license, {form.replace('{0}', 't')} AS form FROM (VALUES {known}) AS k(license, t)),
 units AS (
   SELECT doc_id, 0 AS rank, text AS part FROM documents
-  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n')) FROM documents
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) FROM documents
   UNION ALL SELECT doc_id, 2, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
 per AS (
   SELECT doc_id, license, rank, count(*) AS n

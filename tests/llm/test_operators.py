@@ -129,6 +129,18 @@ def test_licenses_in_other_spelling(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_copyright_lines_are_left_out_and_wrapped_sentences_are_not(spark):
+    import textwrap
+
+    wrapped = "\n\n".join(textwrap.fill(p, 60) for p in licenses.MIT.split("\n\n"))
+    at_copyright = licenses.MIT.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    heads = ["Copyright (c) 2019 A B\n\n", "# Copyright 2019-2021 A B. All rights reserved.\n", "(c) 2020 A B\nAll rights reserved.\n\n", "/* Copyright \u00a9 A B */\n", "MIT License\r\n\r\nCopyright (c) 2020 <b>\r\n\r\n"]
+    rows = [(i, h + t) for i, (h, t) in enumerate((h, t) for h in heads for t in (wrapped, at_copyright))]
+    rows += [(100, "\n".join(f" * {x}" for x in wrapped.split("\n"))), (101, licenses.MIT.replace("\n", "\r\n")), (102, licenses.MIT[:-1] + " really"), (103, "x " + licenses.MIT)]
+    got = {(r["doc_id"], r["license"], r["unit"]) for r in licenses.scan(docs(spark, rows + rows[:1])).collect()}
+    assert got == {(i, "MIT", "text") for i in [*range(10), 100, 101]}
+
+
 def test_licenses_beyond_the_lines_of_the_test_documents(spark):
     text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text("utf-8")
     names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib"]

@@ -14,8 +14,9 @@ short that, with no more than two agreeing words in each, too few would agree. S
 three words of a tile agree, and every three words of a tile are a seed; the documents'
 windows are hashed under each shape that such a triple can have (``triples``).
 
-All of it is DataFrame expressions. The benchmark's seeds are broadcast only after
-they were counted; above ``broadcast_rows`` both sides are shuffled by seed, and
+All of it is DataFrame expressions. A seed is a hash, an item and a place, so some 40 bytes;
+the benchmark's seeds, and its items' words beside them, are broadcast only after they were
+counted. Above ``broadcast_rows`` seeds, or as many words, that side is shuffled by its key, and
 the documents' words are fetched for the hits alone.
 
 Defined results: words are lower-case runs of letters and digits; null and empty
@@ -100,13 +101,15 @@ def overlaps(
         seeds = seeds.unionByName(_seeds(items.where(f"size(item) < {SPAN}"), "item", masks[-1:], "item_id", "item"))
     tile = tile_length(coverage, least)
     masks = masks + triples(tile)
-    seeds = seeds.withColumn("dense", F.lit(1)).unionByName(_tiled(items, tile).withColumn("dense", F.lit(0))).withColumnRenamed("_at", "item_at")
+    seeds = seeds.withColumn("dense", F.lit(1)).unionByName(_tiled(items, tile).withColumn("dense", F.lit(0))).withColumnRenamed("_at", "item_at").drop("item")
     words = docs.select(F.col(id_column).alias("doc_id"), _words(text_column).alias("words")).where(f"size(words) >= {SHORT} AND doc_id IS NOT NULL")
+    if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= broadcast_rows:
+        items = F.broadcast(items)
     if seeds.count() <= broadcast_rows:
-        hits = _seeds(words, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "_seed")
+        hits = _seeds(words, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "_seed").join(items, "item_id")
     else:
         near = (
-            _seeds(words, "words", masks, "doc_id", "words").drop("words").join(seeds.drop("item"), "_seed")
+            _seeds(words, "words", masks, "doc_id", "words").drop("words").join(seeds, "_seed")
             .groupBy("doc_id", "item_id", "_at", "item_at").agg(F.max("dense").alias("dense"))
         )
         hits = near.join(words, "doc_id").join(items, "item_id")

@@ -252,6 +252,18 @@ def test_pages_of_known_language(spark):
     assert {r["lang"] for r in language.identify(df, labelled.limit(0)).collect()} == {None}
 
 
+def test_language_of_texts_that_were_not_learned(spark):
+    """Held-out accuracy: texts of the table by halves, as pages that declare nothing on hosts of their own."""
+    texts = [(r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r["lang"] and len(r["text"] or "") > 60]
+    learned = spark.createDataFrame([t for i, t in enumerate(texts) if i % 2], "lang string, text string")
+    asked = [(i, f"http://h{i}.example/", f"<html><body><p>{t[1]}</p></body></html>") for i, t in enumerate(texts) if i % 2 == 0]
+    pages = spark.createDataFrame([*asked, asked[0], (-1, None, "x" * 500_000), (-2, None, None), (None, "no address", "")], "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("p", F.lit(1))
+    got = language.identify(pages, learned).collect()
+    assert len(got) == len(asked) + 4 and all(0 <= r["probability"] <= 1 for r in got)
+    named = {r["page_id"]: r["lang"] for r in got if r["page_id"] is not None and r["page_id"] >= 0}
+    assert sum(named[i] == texts[i][0] for i, *_ in asked) >= 0.95 * len(asked)
+
+
 def test_rare_declared_languages_are_evidence(spark):
     """A code that is not among the 200 with most pages, on a page without text."""
     en, de = "the cat and the dog with that other thing ", "der hund und die katze mit dem anderen ding "

@@ -41,6 +41,8 @@ from foliosift.llm.common import table
 MASKS = ["11101100101", "11010011011", "1111111"]
 SHORT = 5
 SPAN = max(map(len, MASKS))
+#: Places of a piece of a text.
+PIECE = 1024
 
 
 def tile_length(coverage: float, least: int) -> int:
@@ -81,6 +83,14 @@ def _seeds(df: DataFrame, words: str, masks: list[str], *keep: str) -> DataFrame
     return windows.withColumn("_seed", F.explode(_keys(words, "_at", masks))).where("_seed IS NOT NULL")
 
 
+def _pieces(words: DataFrame, reach: int) -> DataFrame:
+    """Texts in pieces of ``PIECE`` places, each with as many words more on both sides as an item can
+    reach, and the number of its first word: a place's row is bounded, whatever its text's length."""
+    begins = f"transform(sequence(0, (size(words) - 1) div {PIECE}), p -> greatest(0, p * {PIECE} - {reach}))"
+    pieces = F.expr(f"transform(zip_with({begins}, sequence(1, (size(words) - 1) div {PIECE} + 1), (start, p) -> struct(start, p)), x -> struct(x.start AS start, slice(words, x.start + 1, x.p * {PIECE} + {reach} - x.start) AS words))")
+    return words.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", F.col("p.start").alias("_start"), F.col("p.words").alias("words"))
+
+
 def _tiled(items: DataFrame, tile: int) -> DataFrame:
     """Seeds of the items' triples that lie within one tile."""
     parts = [_seeds(items, "item", [m], "item_id", "item").where(F.col("_at") % tile + len(m) <= tile) for m in triples(tile)]
@@ -102,19 +112,20 @@ def overlaps(
     tile = tile_length(coverage, least)
     masks = masks + triples(tile)
     seeds = seeds.withColumn("dense", F.lit(1)).unionByName(_tiled(items, tile).withColumn("dense", F.lit(0))).withColumnRenamed("_at", "item_at").drop("item")
+    total, reach = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.max(F.size("item")), F.lit(0))).first()
+    reach = max(reach, SPAN)
     words = docs.select(F.col(id_column).alias("doc_id"), _words(text_column).alias("words")).where(f"size(words) >= {SHORT} AND doc_id IS NOT NULL")
-    if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= broadcast_rows:
+    if total <= broadcast_rows:
         items = F.broadcast(items)
+    seen = _seeds(_pieces(words, reach), "words", masks, "doc_id", "_start", "words")
+    shift = (F.col("_start") + F.col("_at") - F.col("item_at")).alias("shift")
     if seeds.count() <= broadcast_rows:
-        hits = _seeds(words, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "_seed").join(items, "item_id")
+        hits = seen.join(F.broadcast(seeds), "_seed").join(items, "item_id").select("doc_id", "item_id", shift, "dense", "item", "words", "_start")
     else:
-        near = (
-            _seeds(words, "words", masks, "doc_id", "words").drop("words").join(seeds, "_seed")
-            .groupBy("doc_id", "item_id", "_at", "item_at").agg(F.max("dense").alias("dense"))
-        )
-        hits = near.join(words, "doc_id").join(items, "item_id")
-    hits = hits.withColumn("shift", F.col("_at") - F.col("item_at"))
-    agree = F.expr("aggregate(sequence(0, size(item) - 1), 0, (n, j) -> n + if(get(words, shift + j) = get(item, j), 1, 0))")
+        near = seen.drop("words").join(seeds, "_seed").select("doc_id", "item_id", shift, "dense").groupBy("doc_id", "item_id", "shift").agg(F.max("dense").alias("dense"))
+        hits = near.join(words.withColumn("_start", F.lit(0)), "doc_id").join(items, "item_id")
+    there = "get(words, shift + j - _start)"
+    agree = F.expr(f"aggregate(sequence(0, size(item) - 1), 0, (n, j) -> n + if({there} = get(item, j), 1, 0))")
     lain = (
         hits.select("doc_id", "item_id", "shift", "dense", F.size("item").alias("item_words"), agree.alias("matched"))
         .groupBy("doc_id", "item_id", "shift").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"), F.max("dense").alias("dense"))

@@ -22,7 +22,7 @@ A score is a function of the text alone, and is put on its own row: no join foll
 rows without an id or with a repeated one are scored as any other. Defined results: null and
 empty texts, and texts with no term, get the weighted share of toxic ones among such
 examples; null labels are not used; with no labels every score is 0; an empty table gives an
-empty result; the input's columns are kept, and one named score or evidence is refused.
+empty result; the input's columns are kept, and one named score or evidence is replaced.
 """
 
 from __future__ import annotations
@@ -273,9 +273,7 @@ def score(docs: DataFrame, corpus: DataFrame, labels: DataFrame, *, text_column:
     """docs with score and evidence for every row. ``labels`` (doc_id, label) names rows of
     ``corpus`` (doc_id, text); only rows whose fold ``learns`` are used."""
     spark = docs.sparkSession
-    clash = {"score", "evidence"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the input has columns named {sorted(clash)} already")
+    docs = docs.drop("score", "evidence")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & learns())
     share = usable.agg(F.avg("label")).first()[0] or 0.0
     part = lambda label: usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples // 2)

@@ -427,7 +427,8 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     # a shingle takes 2 bytes of text at least, and in prose some 6
     buckets = max(1, -(-int(total) // (6 * BUCKET)))
     packed = docs.mapInArrow(_index(buckets, int(most) // 2 + 1), "bucket int, blob binary, sets binary")
-    found = cut(packed.groupBy("bucket").applyInArrow(_match, FOUND_SQL), "found")
+    # a partition for each bucket, so that a task reads one bucket at any size of the input
+    found = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match, FOUND_SQL), "found")
     sets = found.where("kind = 3").select(F.col("subset").alias("doc_id"), F.col("votes").alias("n"), F.col("a").alias("hi"), F.col("b").alias("lo"))
     classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
     rep = lambda fp, name: classes.select(F.col("hi").alias(fp), F.col("rep").alias(name))
@@ -505,7 +506,8 @@ def _used_up(members: DataFrame, texts: DataFrame, total: int) -> tuple[DataFram
     hard = cut(bad.join(used, ["node", "band"]), "hard")
     nodes = hard.groupBy("node").agg(F.max("size").alias("size"), F.max("component").alias("component"))
     asked = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    tokens = asked.mapInArrow(_token_index(max(1, -(-total // (6 * BUCKET)))), "bucket int, blob binary, sets binary")
+    buckets = max(1, -(-total // (6 * BUCKET)))
+    tokens = asked.mapInArrow(_token_index(buckets), "bucket int, blob binary, sets binary").repartition(buckets, "bucket")
     found = cut(tokens.groupBy("bucket").applyInArrow(_match_tokens, FOUND_SQL), "found-tokens")
     common = found.where("kind = 4").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("common"))
     # DEN + NUM times the rare tokens, less DEN - NUM times all: what a pair must have above 0 together

@@ -139,3 +139,10 @@ def names_for_display(spark, d):
 def detail_values(spark, d):
     docs = tables.read(spark, d, "documents").select("doc_id", "text", F.split("text", " ", -1).alias("words"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("facts"))
     return docs.select("doc_id", text.summed_up("array", "words").alias("words"), text.summed_up("map", "facts").alias("facts"), text.summed_up("string", "text").alias("note"))
+
+
+@query("WITH p AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey) SELECT n_regionkey, array_to_string(names[1:3], ', ') AS names, len(names) > 3 AS more FROM p")
+def first_names(spark, d):
+    p = tables.read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("all_names"))
+    few, more = text.first_names("all_names", 3)
+    return p.select("n_regionkey", F.array_join(few, ", ").alias("names"), more.alias("more"))

@@ -50,8 +50,8 @@ def by_database(stages: DataFrame, measures: list[str], name: str | None = None)
 
 
 def labelled(stages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels: stage, label, place. What has none shows as itself, last."""
-    out = stages.join(F.broadcast(labels), "stage", "left")
+    """Labels: stage, label, place. What has none shows as itself, last. Spark broadcasts them by their size."""
+    out = stages.join(labels, "stage", "left")
     return out.withColumn("label", F.coalesce("label", "stage")).withColumn("place", F.coalesce("place", F.lit(LAST_RANK)))
 
 

@@ -43,5 +43,5 @@ def statement(reg: DataFrame) -> DataFrame:
 
 def display_names(rows: DataFrame, reg: DataFrame, key: str = "source") -> DataFrame:
     """Adds display_name; a key that isn't registered shows as itself."""
-    names = F.broadcast(reg.select(F.col("key").alias("_key"), F.col("display_name").alias("_name")))
+    names = reg.select(F.col("key").alias("_key"), F.col("display_name").alias("_name"))
     return rows.join(names, F.col(key) == F.col("_key"), "left").withColumn("display_name", F.coalesce("_name", key)).drop("_key", "_name")

@@ -52,7 +52,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Band growth; segments beyond H + 1 as a share of H; the largest subset whose pairs are all taken.
 GROWTH, SPARE, TEAM = 1.5, 0.4, 8
 #: Keys a bucket is planned for, keys a task packs at once, words and sets a task remembers.
-BUCKET, FLUSH, MEMORY = 1_000_000, 3_000_000, 200_000
+BUCKET, FLUSH, MEMORY = 1_000_000, 2_000_000, 200_000
 #: Sets of a block that is compared with another.
 TOGETHER = 512
 U = np.uint64

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliosift.llm.decontaminate import op2_decontamination
-from foliosift.llm import licenses, urlfilters
+from foliosift.llm import infill, licenses, urlfilters
 from foliosift.llm.imagecopies import op4_image_copies
 from foliosift.llm.language import op6_language
 from foliosift.llm.nearset import op10_near_duplicates
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": urlfilters.op9_url_filters,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
 }
 
-ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op9_url_filters": urlfilters.ORACLE}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op9_url_filters": urlfilters.ORACLE, "op12_fill_in_middle": infill.ORACLE}

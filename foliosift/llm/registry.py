@@ -12,6 +12,7 @@ from foliosift.llm.imagecopies import op4_image_copies
 from foliosift.llm.language import op6_language
 from foliosift.llm.nearset import op10_near_duplicates
 from foliosift.llm.packing import op5_packing
+from foliosift.llm.periodic import op11_runs
 from foliosift.llm.resharding import op7_resharding
 from foliosift.llm.secrets import op1_secrets
 from foliosift.llm.toxicity import op8_toxicity
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": urlfilters.op9_url_filters,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_runs": op11_runs,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
 }
 

@@ -15,6 +15,7 @@ from foliosift.llm.packing import op5_packing
 from foliosift.llm.periodic import op11_runs
 from foliosift.llm.resharding import op7_resharding
 from foliosift.llm.secrets import op1_secrets
+from foliosift.llm.simhash import op13_simhash
 from foliosift.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_runs": op11_runs,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op9_url_filters": urlfilters.ORACLE, "op12_fill_in_middle": infill.ORACLE}

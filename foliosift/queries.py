@@ -346,4 +346,4 @@ def source_statement(spark, d):
 
 
 # the other queries register themselves
-from foliosift import queries_runs, queries_store  # noqa: E402, F401
+from foliosift import queries_runs, queries_search, queries_store  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliosift.operators import search, sources
+from foliosift.operators import search, sources, summary
 from foliosift.register import query
 from foliosift.scratch import kept
 from foliosift.sources import tables
@@ -49,3 +49,21 @@ SELECT conv_id, turn, document_source, id, score, row_number() OVER (PARTITION B
 def documents_for_questions(spark, d):
     stood = search.index(tables.catalog(spark, d))
     return told(kept(lambda: search.search(stood, questions(spark, d)), stood, name="found-documents"))
+
+
+@query()
+def document_summaries(spark, d):
+    """Each document's sentences taken, by place; held by tests against the whole graph."""
+    rows = summary.of_documents(tables.catalog(spark, d), tables.sections(spark, d))
+    return rows.select("id", "document_source", "document_name", F.posexplode("summary").alias("place", "x")).select(
+        "id", "document_source", "document_name", (F.col("place") + 1).cast("long").alias("place"), F.col("x.s.section_id").alias("section_id"), F.col("x.s.sentence").alias("sentence"), F.col("x.taken").alias("taken"), F.col("x.rank").alias("rank")
+    )
+
+
+@query()
+def source_summaries(spark, d):
+    """A summary of each source, in rounds over its documents' summaries."""
+    rows = summary.of_sources(summary.of_documents(tables.catalog(spark, d), tables.sections(spark, d)))
+    return rows.select("document_source", F.posexplode("summary").alias("place", "x")).select(
+        "document_source", (F.col("place") + 1).cast("long").alias("place"), F.col("x.s.id").alias("id"), F.col("x.s.section_id").alias("section_id"), F.col("x.s.sentence").alias("sentence"), F.col("x.taken").alias("taken"), F.col("x.rank").alias("rank")
+    )

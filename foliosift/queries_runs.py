@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from foliosift.functions import fiscal, replies, text
@@ -10,6 +12,7 @@ from foliosift.plans import columns as decided
 from foliosift.queries import _results, _RESULTS
 from foliosift.register import query
 from foliosift.sources import registry, sinks, tables
+from foliosift.streaming import runs
 from foliosift.views import CALLS, COST
 
 _LABELS = [("click", "Clicks", 2), ("view", "Views", 1), ("purchase", "Purchases", 3)]
@@ -257,3 +260,19 @@ def clarified_messages(spark, d):
 def stage_json(spark, d):
     rows = tables.calls(spark, d)
     return sinks.as_json(rows.select("call_id", "stage", "source", "prompt_tokens", "ok"), keep=["call_id"])
+
+
+@query("""WITH k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+e AS (SELECT CAST(user_id AS VARCHAR) AS run, 'stage_' || (k % 5) AS stage, event_id, event_type AS kind, epoch_us(ts) AS us, k FROM k),
+cut AS (SELECT *, coalesce(us - lag(us) OVER w >= 86400000000, true) AS new FROM e WINDOW w AS (PARTITION BY run, stage ORDER BY us, event_id)),
+part AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY run, stage ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS part FROM cut),
+details AS (SELECT run, stage, part, string_agg(name || '=' || value, ';' ORDER BY name) AS details FROM (SELECT run, stage, part, 'k' || (k % 3) AS name, CAST(arg_max(k, (us, event_id)) AS VARCHAR) AS value FROM part WHERE kind = 'view' GROUP BY ALL) GROUP BY ALL)
+SELECT run, stage, min(us) AS first_us, max(us) AS last_us, min(us) FILTER (WHERE kind = 'signup') AS start_us, coalesce(max(us) FILTER (WHERE kind IN ('purchase', 'error')), max(us)) AS end_us,
+coalesce(arg_max(CASE kind WHEN 'purchase' THEN 'done' ELSE 'failed' END, (us, event_id)) FILTER (WHERE kind IN ('purchase', 'error')), 'abandoned') AS status,
+CAST(coalesce(sum(k) FILTER (WHERE kind = 'click'), 0) AS BIGINT) AS tokens, count(*) AS events, coalesce(any_value(details), '') AS details
+FROM part LEFT JOIN details USING (run, stage, part) GROUP BY run, stage, part""")
+def run_stages(spark, d):
+    rows = runs.stages(tables.stage_events(spark, d), dt.timedelta(days=1))
+    details = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    times = [F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c}_ts)").alias(f"{c}_us") for c in ("first", "last", "start", "end")]
+    return rows.select("run", "stage", *times, "status", "tokens", "events", details.alias("details"))

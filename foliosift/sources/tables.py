@@ -76,3 +76,15 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 997).alias("prompt_tokens"), (F.col("event_id") % 331).alias("completion_tokens"),
         F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(0.5).alias("prompt_cost"), F.lit(1.5).alias("completion_cost"), (F.col("event_id") % 13 != 0).alias("ok"), "props",
     )
+
+
+def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as what a monitor is told: the user is the run, a fifth of props.k the stage; a signup starts it,
+    purchases and errors end it, views tell details, clicks use tokens."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run"), F.concat(F.lit("stage_"), (k % 5).cast("string")).alias("stage"), "event_id",
+        F.when(kind == "signup", "start").when(kind.isin("purchase", "error"), "end").when(kind == "view", "detail").otherwise("tokens").alias("kind"), "ts",
+        F.when(kind == "purchase", "done").when(kind == "error", "failed").alias("status"), F.when(kind == "view", F.concat(F.lit("k"), (k % 3).cast("string"))).alias("name"),
+        F.when(kind == "view", k.cast("string")).alias("value"), F.when(kind == "click", k).alias("tokens"),
+    )

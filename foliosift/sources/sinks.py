@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foliosift.scratch import written
 
-#: Ranges that rows are numbered in.
-RANGES = 64
+#: Rows of a range that rows are numbered in.
+IN_RANGE = 1_000_000
 
 
 def loaded(df: DataFrame, schema: StructType, *keys: str) -> DataFrame:
@@ -25,24 +26,18 @@ def shaped(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def numbered(df: DataFrame, *keys: str, after: int = 0, name: str = "id") -> DataFrame:
-    """Adds reproducible ids. Rows are counted by ranges of the keys, whose bounds are literals in
-    both the count and the numbering, then numbered within each. No window spans all rows."""
+    """Adds reproducible ids, by the keys. Rows are dealt by ranges of the keys, some ``IN_RANGE`` in
+    each, sorted there, and written with their place; a range's first id is the count of those before it. No
+    window spans rows of all ranges, and ranges grow in number, not in size."""
     order = [F.col(k).asc_nulls_last() for k in keys]
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    place = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"_no_{k}"), F.col(k).alias(k))])
-    some = df.select(place.alias("p")).orderBy(F.md5(F.to_json("p"))).limit(RANGES - 1).select("p").distinct().collect()
-    bound = lambda r: F.struct(*[x for k in keys for x in (F.lit(r["p"][f"_no_{k}"]), F.lit(r["p"][k]).cast(kinds[k]))])
-    at = F.lit(0)
-    for r in some:
-        at = at + F.when(place >= bound(r), 1).otherwise(0)
-    part = df.withColumn("_part", at)
-    counts = {r["_part"]: r["count"] for r in part.groupBy("_part").count().collect()}  # RANGES + 1 rows at most
-    begins, begin = {}, after
-    for p in sorted(counts):
-        begins[p], begin = begin, begin + counts[p]
-    start = F.create_map(*[x for p, n in begins.items() for x in (F.lit(p), F.lit(n))])[F.col("_part")] if begins else F.lit(after)
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return part.withColumn(name, (start + number).cast("long")).drop("_part")
+    parts = -(-df.count() // IN_RANGE) or 1
+    place = F.monotonically_increasing_id()  # the partition, and the row in it
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", place), "numbered").withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    number = (F.lit(after + 1) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, number).drop("_part", "_at", "_before")
 
 
 def save(df: DataFrame, path: str, *, append: bool = False) -> int:

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliosift.packaged import ship
-from foliosift.sources.sinks import numbered
 
 # Bounds of the two histograms, and the limits that are counted.
 SMALL = [50, 100, 200, 300, 400, 500, 1000]
 LARGE = [1000, 2000, 5000, 10000, 20000, 50000]
+#: Buckets of a pass of a selection; how far from the middle a sketch's bounds are; groups whose bounds are broadcast.
+BUCKETS, SLACK, GROUPS = 1024, 0.02, 100_000
 
 
 def stats(rows: DataFrame, measure: str = "tokens") -> DataFrame:
@@ -67,20 +68,85 @@ def top_sums(rows: DataFrame, ks: list[int], measure: str = "tokens", key: str =
     return run.where(F.col("k").isin(ks)).select(F.col("k").cast("long").alias("k"), "total")
 
 
-def ranks(rows: DataFrame, measure: str, key: str) -> DataFrame:
-    """Rows numbered from the largest. Ranges are sorted apart and numbered from counts, so
-    the numbering isn't one task's work."""
-    return numbered(rows.withColumn("_down", -F.col(measure)), "_down", key, name="rank").drop("_down")
-
-
-def middle_and_bottom(rows: DataFrame, measure: str = "tokens", key: str = "id", n: int = 10) -> DataFrame:
-    """Sums of the middle and of the last n rows by size; null below n rows."""
-    numbers = ranks(rows.select(measure, key), measure, key)
-    total = rows.agg(F.count(F.lit(1)).alias("rows"))
-    both = numbers.join(F.broadcast(total))
-    start = F.expr(f"greatest(0, rows div 2 - {n // 2})")
-    inside = lambda lo: F.when((F.col("rows") >= n) & (F.col("rank") > lo) & (F.col("rank") <= lo + n), F.col(measure))
-    return both.agg(F.sum(inside(start)).alias("middle"), F.sum(inside(F.col("rows") - n)).alias("bottom"))
+def values_at(rows: DataFrame, measure: str, ranks: list[int]) -> dict[int, tuple[int, int]]:
+    """Of each rank, from 1 for the largest, the value of a whole-numbered measure there, and how many
+    rows have a larger one. Ranks beyond the rows are left out; so are null measures.
+
+    Each pass counts rows in at most ``BUCKETS`` buckets of each value range that still holds a
+    rank, and narrows it to a bucket: two or three passes over one column, whatever the size, with
+    partial counts before the shuffle. Nothing is sorted."""
+    n, least, most = rows.agg(F.count(measure), F.min(measure), F.max(measure)).first()
+    open_, found = {r: (least, most, 0) for r in set(ranks) if 1 <= r <= n}, {}
+    while open_:
+        spans = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+        place = F.lit(None)
+        for i, (lo, hi) in enumerate(spans):
+            width = (hi - lo) // BUCKETS + 1
+            place = F.when(F.col(measure).between(lo, hi), F.struct(F.lit(i).alias("span"), F.expr(f"(`{measure}` - {lo}L) div {width}L").alias("bucket"))).otherwise(place)
+        counts = rows.where(" OR ".join(f"`{measure}` BETWEEN {lo} AND {hi}" for lo, hi in spans)).groupBy(place.alias("p")).count()
+        held: dict[int, list[tuple[int, int]]] = {}
+        for r in counts.collect():  # BUCKETS a span at most
+            held.setdefault(r["p"]["span"], []).append((r["p"]["bucket"], r["count"]))
+        for rank, (lo, hi, above) in list(open_.items()):
+            width = (hi - lo) // BUCKETS + 1
+            for bucket, count in sorted(held[spans.index((lo, hi))], reverse=True):
+                if above + count >= rank:
+                    break
+                above += count
+            open_[rank] = (lo + bucket * width, min(hi, lo + (bucket + 1) * width - 1), above)
+            if width == 1:
+                found[rank] = (open_[rank][0], above)
+                del open_[rank]
+    return found
+
+
+def middle_and_bottom(rows: DataFrame, measure: str = "tokens", n: int = 10) -> DataFrame:
+    """Sums of the middle and of the last n rows by size; null below n rows. The values at both ends of
+    each stretch are selected; then the few values between them are counted."""
+    total = rows.count()
+    stretches = {"middle": (max(0, total // 2 - n // 2), n), "bottom": (total - n, n)} if total >= n else {}
+    ends = values_at(rows, measure, [r for start, k in stretches.values() for r in (start + 1, start + k)])
+    sums = []
+    for name in ("middle", "bottom"):
+        if name not in stretches or stretches[name][0] + n not in ends:
+            sums.append(F.lit(None).cast("long").alias(name))
+            continue
+        start = stretches[name][0]
+        (high, above), (low, below) = ends[start + 1], ends[start + n]
+        # rows between the end values all count; of those at an end value as many as the stretch reaches
+        between = F.coalesce(F.sum(F.when((F.col(measure) < high) & (F.col(measure) > low), F.col(measure))), F.lit(0))
+        inner = F.count_if((F.col(measure) < high) & (F.col(measure) > low))
+        at_low = start + n - below if high != low else n
+        sums.append((between + F.lit(low * at_low) + F.lit(high) * (F.lit(n - at_low) - inner) if high != low else F.lit(high * n)).cast("long").alias(name))
+    return rows.agg(*sums, F.count(F.lit(1)).alias("_n")).drop("_n")
+
+
+def medians(rows: DataFrame, by: str, measure: str) -> DataFrame:
+    """by, n and the exact median of a whole-numbered measure in each group, nulls left out.
+
+    A mergeable sketch of each group gives values between which the median is all but sure to
+    be; rows below and between them are counted by value. Where a sketch was wrong, the counts tell,
+    and the group is counted by value as a whole. No group is sorted or gathered."""
+    known = rows.where(F.col(measure).isNotNull()).select(by, F.col(measure).cast("long").alias("v"))
+    sketched = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.kll_sketch_agg_bigint("v").alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+    bounds = sketched.select(F.col(by).alias("_by"), "n", at(0.5 - SLACK).alias("low"), at(0.5 + SLACK).alias("high"), "least", "most")
+
+    def tried(groups: DataFrame, low: str, high: str) -> DataFrame:
+        groups = F.broadcast(groups) if groups.count() <= GROUPS else groups
+        near = known.join(groups, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("v") <= F.col(high))
+        inside = F.when(F.col("v") >= F.col(low), F.col("v"))
+        counts = near.groupBy("_by", "n", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("_by").orderBy(F.col("v").asc_nulls_first()))
+        # of n values the ones at (n + 1) div 2 and n div 2 + 1
+        place = lambda k: F.min(F.when((F.col("upto") >= k) & F.col("v").isNotNull() & (F.col("upto") - F.col("c") < k), F.col("v")))
+        return counts.withColumn("upto", upto).groupBy("_by", "n").agg(place(F.expr("(n + 1) div 2")).alias("a"), place(F.expr("n div 2 + 1")).alias("b"))
+
+    first = tried(bounds, "low", "high")
+    told = first.where("a IS NOT NULL AND b IS NOT NULL")
+    missed = bounds.join(told.select(F.col("_by").alias("_told"), F.lit(True).alias("_yes")), F.col("_by").eqNullSafe(F.col("_told")), "left").where("_yes IS NULL").select(bounds.columns)
+    done = told if missed.isEmpty() else told.unionByName(tried(missed, "least", "most"))
+    return done.select(F.col("_by").alias(by), "n", ((F.col("a") + F.col("b")) / F.lit(2.0)).alias("median"))
 
 
 def rescaled(sampled: DataFrame, all_rows: DataFrame, tokens: str, chars: str) -> DataFrame:

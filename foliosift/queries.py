@@ -207,6 +207,11 @@ def middle10_bottom10(spark, d):
     return profile.middle_and_bottom(_document_tokens(spark, d))
 
 
+@query("SELECT source, count(n_chars) AS n, median(n_chars)::DOUBLE AS median FROM documents WHERE n_chars IS NOT NULL GROUP BY source")
+def median_chars_by_source(spark, d):
+    return profile.medians(tables.read(spark, d, "documents").select("source", "n_chars"), "source", "n_chars")
+
+
 @query("""WITH r AS (SELECT sum(len(regexp_split_to_array(text, ' ')))::DOUBLE / sum(length(text)) AS ratio FROM conversations), c AS (SELECT sum(n_chars) AS chars FROM documents)
 SELECT ratio, CAST(chars AS BIGINT) AS chars, CAST(floor(chars * ratio) AS BIGINT) AS tokens FROM r, c""")
 def ratio_rescale(spark, d):

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from foliosift.packaged import ship
 
 
+#: Files of a shuffle go as soon as the job that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a session that runs on this machine alone may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,8 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder; what follows doesn't repeat its work."""
     spark = df.sparkSession
     ship(spark)
-    path, schema = f"{folder(spark)}/foliosift-{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    path, schema, before = f"{folder(spark)}/foliosift-{name}-{uuid.uuid4().hex}", df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._foliosift_path = path
     return out

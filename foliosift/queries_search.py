@@ -15,7 +15,7 @@ _IMPACTS = rf"""d AS (SELECT source AS document_source, doc_id AS id, {_TERMS.fo
 tf AS (SELECT document_source, id, length, term, count(*) AS tf FROM (SELECT document_source, id, len(w) AS length, unnest(w) AS term FROM d) GROUP BY ALL),
 n AS (SELECT document_source, count(*) AS n, sum(len(w)) / count(*)::DOUBLE AS mean FROM d WHERE len(w) > 0 GROUP BY ALL),
 df AS (SELECT document_source, term, count(*) AS df FROM tf GROUP BY ALL),
-impacts AS (SELECT document_source, id, term, CAST(round(10000::DOUBLE * (ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))) AS BIGINT) AS impact
+impacts AS (SELECT document_source, id, term, CAST(round(1000::DOUBLE * (ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))) AS BIGINT) AS impact
   FROM tf JOIN df USING (document_source, term) JOIN n USING (document_source)),
 asked AS (SELECT DISTINCT conv_id, turn, unnest(list_distinct({_TERMS.format("text")})) AS term FROM conversations WHERE role = 'user')"""
 

@@ -219,6 +219,18 @@ def ratio_rescale(spark, d):
     return profile.rescaled(sampled, _document_tokens(spark, d).select(F.col("n_chars").alias("chars")), "tokens", "chars")
 
 
+@query("""WITH w AS (SELECT source, doc_id, CAST(len(regexp_split_to_array(text, ' ')) AS DOUBLE) AS t, CAST(n_chars AS DOUBLE) AS c FROM documents WHERE text IS NOT NULL),
+s AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) <= 100),
+b AS (SELECT source, m, t, c, tt, cc, tc, n, n / m AS up FROM (SELECT source, count(*)::DOUBLE AS m, sum(t) AS t, sum(c) AS c, sum(t * t) AS tt, sum(c * c) AS cc, sum(t * c) AS tc FROM s GROUP BY source) JOIN (SELECT source, count(*)::DOUBLE AS n FROM w GROUP BY source) USING (source)),
+r AS (SELECT sum(up * t) / sum(up * c) AS r, sum(up * c) AS scaled FROM b),
+e AS (SELECT any_value(r) AS ratio, sqrt(sum(n * (n - m) * greatest(0, tt - 2 * r * tc + r * r * cc - m * ((t - r * c) / m) * ((t - r * c) / m)) / (m - 1) / m)) / any_value(scaled) AS error FROM b, r)
+SELECT round(ratio, 9) AS ratio, round(error, 9) AS error, round(ratio - 1.96::DOUBLE * error, 9) AS low, round(ratio + 1.96::DOUBLE * error, 9) AS high, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents WHERE text IS NOT NULL) AS chars FROM e""")
+def ratio_of_stratified_sample(spark, d):
+    rows = tables.read(spark, d, "documents").where("text IS NOT NULL").select("source", "doc_id", F.size(F.split("text", " ")).alias("tokens"), "n_chars")
+    one = profile.ratio_of_sample(rows, "source", "doc_id", "tokens", "n_chars", 100)
+    return one.select(*[F.round(c, 9).alias(c) for c in ("ratio", "error", "low", "high")], "chars")
+
+
 @query("SELECT conv_id, turn, role, text AS content FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10")
 def last_10_messages(spark, d):
     return conversation.recent(tables.messages(spark, d))

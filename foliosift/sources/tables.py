@@ -16,6 +16,52 @@ def open_store(spark: SparkSession, location: str, table: str, **options: str) -
     return spark.read.parquet(f"{location}/{table}.parquet")
 
 
+def open_parallel(spark: SparkSession, url: str, table: str, key: str, partitions: int, *, where: str | None = None, **options: str) -> DataFrame:
+    """A database's table in so many partitions of even size, by ranges of a whole-numbered key, spelled as
+    the database does; rows without a key are in the first. ``where`` is a condition in the database's own SQL, which the counts respect too;
+    filters on the result reach the database as well."""
+    inside = f"({where})" if where else None
+    cuts = key_bounds(spark, url, table, key, partitions, where=where, **options)
+    ranges = [f"{key} IS NULL OR {key} < {cuts[0]}", *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])], f"{key} >= {cuts[-1]}"] if cuts else ["1 = 1"]
+    return spark.read.jdbc(url, table, predicates=[f"({r}) AND {inside}" if inside else f"({r})" for r in ranges], properties=options)
+
+
+#: Buckets that the database counts a range of keys in.
+KEY_BUCKETS = 256
+
+
+def key_bounds(spark: SparkSession, url: str, table: str, key: str, partitions: int, *, where: str | None = None, **options: str) -> list[int]:
+    """Keys that cut the table into at most so many ranges of like counts. The database counts by buckets;
+    a bucket that holds more than a range's share is counted anew in finer ones, until it is small or one key. Only
+    counts come here, so skewed keys cost a few more queries and no reading."""
+    condition = f" AND ({where})" if where else ""
+
+    def ask(query: str) -> list[tuple]:
+        return [tuple(r) for r in spark.read.jdbc(url, f"({query}) t", properties=options).collect()]
+
+    low, high, total = ask(f"SELECT MIN({key}) AS a, MAX({key}) AS b, COUNT({key}) AS n FROM {table} WHERE {key} IS NOT NULL{condition}")[0]
+    if not total or partitions < 2:
+        return []
+    share, counted, open_ = -(-total // partitions), [], [(int(low), int(high))]
+    while open_:
+        lo, hi = open_.pop()
+        width = (hi - lo) // KEY_BUCKETS + 1
+        buckets = ask(f"SELECT b, COUNT(*) AS n FROM (SELECT ({key} - {lo}) / {width} AS b FROM {table} WHERE {key} >= {lo} AND {key} <= {hi}{condition}) x GROUP BY b")
+        for b, n in buckets:
+            start = lo + int(b) * width
+            if n > share and width > 1:
+                open_.append((start, min(hi, start + width - 1)))
+            else:
+                counted.append((start, n))
+    cuts, held = [], 0
+    for start, n in sorted(counted):
+        if held and held + n > share and len(cuts) < partitions - 1:
+            cuts.append(start)
+            held = 0
+        held += n
+    return cuts
+
+
 def existing(spark: SparkSession, names: list[str]) -> list[str]:
     """Those of the names that are tables or views of the session's catalog."""
     return [n for n in names if spark.catalog.tableExists(n)]

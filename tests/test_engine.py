@@ -104,6 +104,23 @@ def test_store_over_jdbc(spark, tmp_path):
     assert tables.existing(spark, ["seen_here", "not_here"]) == ["seen_here"]
 
 
+def test_parallel_reads_of_a_database(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/store;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    keys = [*range(1, 301), *[10**9 + i * i for i in range(300)], *[5] * 40, None, None]
+    rows = spark.createDataFrame([(k, "ab"[i % 2], i) for i, k in enumerate(keys)], "id long, document_source string, n long")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "catalog").option("createTableColumnTypes", "document_source VARCHAR(20)").options(**options).save()
+    got = tables.open_parallel(spark, url, "catalog", '"id"', 8, **options)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert sorted(r["N"] for r in got.select(F.col("n").alias("N")).collect()) == list(range(len(keys)))
+    assert 6 <= got.rdd.getNumPartitions() <= 8 and sum(sizes) == len(keys) and max(sizes) <= 2 * len(keys) / 8
+    mine = got.where(F.col("document_source") == "a")
+    plan = mine._jdf.queryExecution().executedPlan().toString().lower()
+    assert "pushedfilters" in plan and "equalto(document_source,a)" in plan and mine.count() == len(keys) // 2
+    own = tables.open_parallel(spark, url, "catalog", '"id"', 4, where="\"document_source\" = 'b'", **options)
+    assert own.count() == len(keys) // 2 and 3 <= own.rdd.getNumPartitions() <= 4
+    assert tables.open_parallel(spark, url, "catalog", '"id"', 4, where="\"document_source\" = 'none'", **options).count() == 0
+
+
 def test_numbering_and_saving(spark, tmp_path):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
     assert {r["k"]: r["id"] for r in sinks.numbered(df, "k").collect()} == {"a": 1, "b": 2, "c": 3, None: 4}

@@ -45,3 +45,29 @@ def test_medians_where_a_sketch_is_wrong(spark, monkeypatch):
     monkeypatch.setattr(profile, "SLACK", -0.4)  # bounds that don't hold the median
     df = spark.createDataFrame([("a", v) for v in range(1001)], "g string, v long")
     assert [tuple(r) for r in profile.medians(df, "g", "v").collect()] == [("a", 1001, 500.0)]
+
+
+def stratified(rng):
+    return [(g, i, max(1, round(c / f + rng.gauss(0, 3))), c) for i in range(900) for g, f in [rng.choice([("a", 4), ("b", 5), ("c", 3)])] for c in [rng.randrange(40, 900)]]
+
+
+def test_bottom_k_is_the_same_in_any_partitioning(spark):
+    df = spark.createDataFrame(stratified(random.Random(1)), "g string, id long, tokens long, chars long")
+    one = sorted(map(tuple, profile.bottom_k(df, "g", "id", 20).collect()))
+    assert one == sorted(map(tuple, profile.bottom_k(df.repartition(9), "g", "id", 20).collect())) and len(one) == 60
+    halves = profile.bottom_k(df.where("id % 2 = 0"), "g", "id", 20).unionByName(profile.bottom_k(df.where("id % 2 = 1"), "g", "id", 20))
+    assert one == sorted(map(tuple, profile.bottom_k(halves, "g", "id", 20).collect()))
+
+
+def test_the_interval_holds_the_ratio(spark):
+    """In about 95 of 100 samples, and always where the sample is the whole."""
+    rows = stratified(random.Random(3))
+    df = spark.createDataFrame(rows, "g string, id long, tokens long, chars long").coalesce(1).cache()
+    true = sum(r[2] for r in rows) / sum(r[3] for r in rows)
+    held = 0
+    for seed in range(60):
+        one = profile.ratio_of_sample(df, "g", "id", "tokens", "chars", 40, seed).first()
+        held += one["low"] <= true <= one["high"]
+    assert 52 <= held
+    whole = profile.ratio_of_sample(df, "g", "id", "tokens", "chars", 10_000).first()
+    assert abs(whole["ratio"] - true) < 1e-12 and whole["error"] == 0 and whole["chars"] == sum(r[3] for r in rows)

@@ -5,13 +5,17 @@ labelled documents of each language (the one bounded sample, in the order of a h
 repeats within a page aren't independent, so at most ``most_evidence`` trigrams' worth
 counts. Priors: the text's own posteriors are summed by host, by address suffix and
 overall with grouped aggregation; each level is smoothed with the one above, and a
-page's own share is taken out of its host's. Declared language: a table of declared
+page's own share is taken out of its host's. A page without an address has no level but the
+overall one, and a host without a suffix (a bare name) has none between. Declared language: a table of declared
 against text language, counted over all pages. The posterior is the normalised product.
 
-Defined results: a page with neither text nor address gets the overall prior; a null
-html has no text and declares nothing; an unknown declared language is evidence of its
-own kind; repeated rows each get a result; an empty table gives an empty result; with
-no labelled documents the result is empty of languages (null).
+Defined results: a page with neither text nor address gets the overall prior, times what it
+declares; a null html has no text and declares nothing; an unknown declared language is evidence of its
+own kind; a null page_id stays null and its page counts like others; repeated rows are separate
+pages, each with a result; ties between languages go to the first by name; texts of any length are
+read whole; an empty table gives an empty result; with no labelled documents every page keeps its
+host and declared language, and its languages and probability are null; only page_id, url and html, and
+lang and text, are read, so no other name can clash. The tables written on the way are deleted.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliosift.llm.common import cut, table
+from foliosift.llm.common import alone, cut, table
+from foliosift.packaged import ship
 
 BITS = 15
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -71,8 +76,11 @@ def _likelihoods(model: np.ndarray, most_evidence: float) -> Callable:
 
 def identify(pages: DataFrame, labelled: DataFrame, *, per_language: int = 1000, most_evidence: float = 60.0, smoothing: float = 5.0, broadcast_rows: int = 500_000) -> DataFrame:
     """page_id, host, declared, text_lang (by text alone), lang and probability."""
-    from pyspark.sql import Window
+    ship(pages.sparkSession)
+    return alone(lambda: _identified(pages, labelled, per_language, most_evidence, smoothing, broadcast_rows), "languages")
 
+
+def _identified(pages: DataFrame, labelled: DataFrame, per_language: int, most_evidence: float, smoothing: float, broadcast_rows: int) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
     usable = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     # a hash threshold thins each language to about the bound before the exact cut
@@ -87,27 +95,28 @@ def identify(pages: DataFrame, labelled: DataFrame, *, per_language: int = 1000,
         counts[langs.index(r["lang"]), r["gram"]] += r["n"]
     model = np.log(counts / counts.sum(axis=1, keepdims=True))
     size = len(langs)
-    if not size:
-        return pages.select("page_id", F.lit("").alias("host"), F.lit("").alias("declared"), *[F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")], F.lit(None).cast("double").alias("probability"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     rows = pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1).alias("suffix"), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)).alias("declared"), "html")
+    if not size:
+        return rows.select("page_id", "host", "declared", *[F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")], F.lit(None).cast("double").alias("probability"))
     text = cut(rows.mapInArrow(_likelihoods(model, most_evidence), "page_id long, host string, suffix string, declared string, ll array<double>, p array<double>"), "page-text")
     sums = F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(size)])
     total = text.agg(F.count(F.lit(1)).alias("n"), sums.alias("s")).first()
     base = [((total["s"][i] or 0.0) + 1.0) / (total["n"] + size) for i in range(size)]
     literal = "array(" + ", ".join(f"{b!r}D" for b in base) + ")"
-    suffixes = text.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"))
+    suffixes = text.where("suffix <> ''").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"))
     suffixes = suffixes.select("suffix", F.expr(f"zip_with(s, {literal}, (x, b) -> (x + {smoothing} * b) / (n + {smoothing}))").alias("suffix_prior"))
-    hosts = text.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("hn"), sums.alias("hs")).join(suffixes, "suffix")
-    hosts = hosts.select("host", "hn", "hs", "suffix_prior")
+    hosts = text.where("host <> ''").groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("hn"), sums.alias("hs")).join(suffixes, "suffix", "left")
+    hosts = hosts.select("host", "hn", "hs", F.coalesce("suffix_prior", F.expr(literal)).alias("suffix_prior"))
     # one row per declared code, of which DECLARED allows 26^2 + 26^3
     seen = text.where("declared <> ''").groupBy("declared").agg(sums.alias("s"))
     of_all = seen.agg(F.count(F.lit(1)).alias("n_seen"), F.array(*[F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) + 1.0 for i in range(size)]).alias("spread"))
     evidence = seen.crossJoin(of_all).select("declared", F.expr("zip_with(s, spread, (x, y) -> ln((x + 1 / (1 + n_seen)) / y))").alias("d"))
     if hosts.count() <= broadcast_rows:
         hosts = F.broadcast(hosts)
-    fused = text.join(hosts, "host").join(F.broadcast(evidence), "declared", "left").withColumn("d", F.coalesce("d", F.array(*[F.lit(0.0)] * size)))
-    score = F.expr(f"transform(ll, (x, i) -> x + d[i] + ln((greatest(0D, hs[i] - p[i]) + {smoothing} * suffix_prior[i]) / (hn - 1 + {smoothing})))")
+    fused = text.join(hosts, "host", "left").join(F.broadcast(evidence), "declared", "left").withColumn("d", F.coalesce("d", F.array(*[F.lit(0.0)] * size)))
+    prior = f"if(hn IS NULL, {literal}[i], (greatest(0D, hs[i] - p[i]) + {smoothing} * suffix_prior[i]) / (hn - 1 + {smoothing}))"
+    score = F.expr(f"transform(ll, (x, i) -> x + d[i] + ln({prior}))")
     fused = fused.withColumn("score", score).withColumn("top", F.array_max("score"))
     fused = fused.withColumn("probability", F.expr("1 / aggregate(score, 0D, (a, x) -> a + exp(x - top))"))
     names = F.array(*[F.lit(x) for x in langs])

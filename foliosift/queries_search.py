@@ -40,14 +40,14 @@ beliefs AS (SELECT document_source, term, CAST(round(1000000::DOUBLE * (df / (df
 @query(f"""WITH {_BELIEFS}, scores AS (SELECT conv_id, turn, document_source, CAST(sum(belief) AS BIGINT) AS score FROM asked JOIN beliefs USING (term) GROUP BY ALL HAVING sum(belief) > 0)
 SELECT conv_id, turn, document_source, score, row_number() OVER best AS rank FROM scores WINDOW best AS (PARTITION BY conv_id, turn ORDER BY score DESC, document_source) QUALIFY rank <= 5 AND score * 2 >= first_value(score) OVER best""")
 def sources_for_questions(spark, d):
-    stood = search.index(tables.catalog(spark, d))
+    stood = search.index(tables.catalog(spark, d), kind="document_type")
     return told(kept(lambda: sources.choose(stood, questions(spark, d)), stood, name="chosen-sources"))
 
 
 @query(f"""WITH {_IMPACTS}, scores AS (SELECT conv_id, turn, document_source, id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0)
 SELECT conv_id, turn, document_source, id, score, row_number() OVER (PARTITION BY conv_id, turn, document_source ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= 5""")
 def documents_for_questions(spark, d):
-    stood = search.index(tables.catalog(spark, d))
+    stood = search.index(tables.catalog(spark, d), kind="document_type")
     return told(kept(lambda: search.search(stood, questions(spark, d)), stood, name="found-documents"))
 
 

@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+_lock = threading.Lock()
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once per context: they need not have it installed."""
+    """Gives the executors this package, once per context: they need not have it installed. Threads
+    that ask at the same time wait for the one that does it."""
+    with _lock:
+        _shipped(spark)
+
+
+def _shipped(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_foliosift_shipped", False):
         return

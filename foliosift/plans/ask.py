@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliosift.operators import assembly, report, selection
+from foliosift.operators import assembly, report, search, selection, sources, summary
 from foliosift.packaged import ship
 from foliosift.plans import decisions as d
 from foliosift.plans.dispatch import as_they_end
@@ -54,33 +54,76 @@ def each_document(answer: Callable[[str, str, str], str]) -> Callable[[str, Data
     return synthesise
 
 
-def metadata(catalog: DataFrame, question: str) -> DataFrame:
-    chosen = selection.select_documents(catalog, question)
-    return selection.selected(catalog, chosen)
+def summarised(question: str, rows: DataFrame) -> DataFrame:
+    """A synthesis without a model: of each document the sentences that stand for its chosen sections and
+    for the question, in their order."""
+    cut = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda s: F.transform(summary.sentences(s["content"]), lambda t: F.struct(s["pos"].alias("pos"), t.alias("sentence"))))
+    whole = rows.groupBy("source", "document_name").agg(F.min("pos").alias("pos"), F.flatten(cut).alias("sentences"))
+    found = summary.summarise(whole, ["source", "document_name", "pos"], asked=F.array_distinct(search.terms(F.lit(question))))
+    answer = F.array_join(F.transform("summary", lambda s: s["s"]["sentence"]), " ")
+    return found.select("source", "document_name", "pos", answer.alias("answer"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
 
 
-def research(catalog: DataFrame, sections: DataFrame, question: str, synthesise: Callable = extract, per_document: int = selection.MOST) -> DataFrame:
+def digest(spark: SparkSession, budget: int = summary.BUDGET) -> Callable[[str], Iterator[str]]:
+    """What ``ask(summarise=...)`` takes: a summary of the sources' reports, sentence by sentence."""
+
+    def summarise(context: str) -> Iterator[str]:
+        ship(spark)
+        text = spark.createDataFrame([(0, context)], "id long, context string").select("id", F.transform(summary.sentences(F.col("context")), lambda t: F.struct(t.alias("sentence"))).alias("sentences"))
+        for row in summary.summarise(text.withColumn("sentences", F.filter("sentences", lambda s: ~s["sentence"].startswith("#"))), ["id"], budget=budget).collect():
+            yield from (f"{s['s']['sentence']}\n" for s in row["summary"])
+
+    return summarise
+
+
+def planner_of(spark: SparkSession, index: DataFrame) -> Callable[[str, list[dict]], list[str]]:
+    """A planner that goes by what the sources hold: the registered ones among those with most belief."""
+
+    def plan(question: str, known: list[dict]) -> list[str]:
+        key_of = {s["source_value"]: s["key"] for s in known}
+        asked = spark.createDataFrame([(0, question)], "question long, text string")
+        found = sources.choose(index.where(F.col("source").isin(list(key_of))), asked).orderBy("rank").collect()  # MOST rows
+        return [key_of[r["document_source"]] for r in found]
+
+    return plan
+
+
+def chosen(catalog: DataFrame, question: str, index: DataFrame | None = None) -> DataFrame:
+    """The ids of the documents to read, of one source's catalog: by its index, where there is one."""
+    if index is None:
+        return selection.select_documents(catalog, question).select("id")
+    asked = catalog.sparkSession.createDataFrame([(0, question)], "question long, text string")
+    return search.search(index, asked).select("id")
+
+
+def metadata(catalog: DataFrame, question: str, index: DataFrame | None = None) -> DataFrame:
+    return selection.selected(catalog, chosen(catalog, question, index))
+
+
+def research(catalog: DataFrame, sections: DataFrame, question: str, synthesise: Callable = extract, per_document: int = selection.MOST, index: DataFrame | None = None) -> DataFrame:
     """Documents, then their sections by summary, then the contents of the chosen sections only. A
-    document none of whose summaries shares a word with the question gives its first section."""
-    chosen = selection.select_documents(catalog, question)
-    mine = catalog.join(chosen.select("id"), "id").select("id", *assembly.KEY)
+    document none of whose summaries shares a word with the question gives its first section. Rows are
+    numbered in order; they are ``per_document`` sections of ``MOST`` documents at most."""
+    mine = catalog.join(chosen(catalog, question, index), "id").select("id", *assembly.KEY)
     summaries = sections.select(*assembly.KEY, "section_id", "section_summary").join(mine, assembly.KEY)
     best = selection.select_sections(summaries, question, per_document).select(*assembly.KEY, "section_id")
     rest = mine.join(best.select(*assembly.KEY).distinct(), assembly.KEY, "left_anti")
     first = summaries.join(rest.select("id"), "id", "left_semi").groupBy(*assembly.KEY).agg(F.min("section_id").alias("section_id"))
     rows = sections.join(best.unionByName(first), [*assembly.KEY, "section_id"], "left_semi").join(mine, assembly.KEY)
-    rows = rows.select(F.col("document_source").alias("source"), "document_name", (F.col("id") * 10_000 + F.col("section_id")).alias("pos"), F.col("section_content").alias("content"))
+    rows = rows.select(F.col("document_source").alias("source"), "document_name", F.row_number().over(Window.orderBy("id", "section_id")).cast("long").alias("pos"), F.col("section_content").alias("content"))
     return synthesise(question, rows)
 
 
 def ask(
-    spark: SparkSession, conversation, catalog: DataFrame, sections: DataFrame, sources: DataFrame, *, router: d.Router = d.route,
+    spark: SparkSession, conversation, catalog: DataFrame, sections: DataFrame, registered: DataFrame, *, router: d.Router = d.route,
     clarifier: d.Clarifier = d.clarify, planner: d.Planner = d.plan, answer: Callable[[list[dict]], Iterator[str]] | None = None,
-    synthesise: Callable = extract, summarise: Callable[[str], Iterator[str]] | None = None, monitor: Monitor | None = None,
+    synthesise: Callable = extract, summarise: Callable[[str], Iterator[str]] | None = None, monitor: Monitor | None = None, index: DataFrame | None = None,
 ) -> Iterator[str]:
     """Yields the answer in chunks: a plan, a line per source as its query ends, then a listing, or
     the reports, or with ``summarise`` what it makes of their context. A source that fails has its
-    line and an error in place of its report, and the others go on."""
+    line and an error in place of its report, and the others go on. With an ``index`` of the catalog
+    (``search.index``) documents are ranked by it, and no description is read for the question."""
+    ship(spark)  # before the sources' threads start
     monitor = monitor or Monitor(enabled=False)
     messages = normalised(conversation)
     with monitor.stage("route"):
@@ -95,7 +138,7 @@ def ask(
     if need.action == d.ASK:
         yield need.output
         return
-    known = [r.asDict() for r in sources.collect()]  # the registry, a handful of rows
+    known = [r.asDict() for r in registered.collect()]  # the registry, a handful of rows
     with monitor.stage("plan"):
         keys = d.checked_plan(planner(need.output, known), known)
     by_key = {s["key"]: s for s in known}
@@ -107,7 +150,8 @@ def ask(
 
         def run() -> list:
             with monitor.stage(f"db_query_{key}_0", scope=need.scope):
-                found = metadata(own(catalog), need.output) if need.scope == d.METADATA else research(own(catalog), own(sections), need.output, synthesise)
+                its = None if index is None else index.where(F.col("source") == by_key[key]["source_value"])
+                found = metadata(own(catalog), need.output, its) if need.scope == d.METADATA else research(own(catalog), own(sections), need.output, synthesise, index=its)
                 return found.collect()  # at most MOST documents of a source
 
         return run

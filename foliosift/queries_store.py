@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliosift import schemas
 from foliosift.functions import text
-from foliosift.operators import assembly, catalog as cat, profile, report, selection
+from foliosift.operators import assembly, catalog as cat, profile, report, selection, tokens
 from foliosift.register import query
 from foliosift.sources import registry, sinks, tables
 from foliosift.views import CATALOG, QUESTION, SECTIONS, TERMS, TITLE
@@ -93,7 +93,16 @@ def chosen_section_contents(spark, d):
 @query("SELECT 'doc_' || doc_id AS document_name, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')) AS tokens FROM documents")
 def exact_token_counts(spark, d):
     docs = tables.catalog(spark, d).select("document_name", "document_description")
-    return profile.exactly_counted(docs, "document_description", text.whitespace_tokenizer).select("document_name", "tokens")
+    return docs.select("document_name", text.words("document_description").alias("tokens"))
+
+
+@query()
+def exact_bpe_counts(spark, d):
+    """Tokens of a public vocabulary; held against the library it is for by tests/test_tokens.py."""
+    import public_tokenizers
+
+    docs = tables.catalog(spark, d).select("id", "document_description")
+    return tokens.counted(docs, "document_description", public_tokenizers.path("byte_bpe_50k.tiktoken")).select("id", "tokens")
 
 
 @query("""WITH b(bucket, low, high) AS (VALUES (0, 0, 1000), (1, 1001, 2000), (2, 2001, 5000), (3, 5001, 10000), (4, 10001, 20000), (5, 20001, 50000), (6, 50001, NULL))

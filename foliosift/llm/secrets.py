@@ -17,7 +17,9 @@ proportion to the token's bits (mean 1), and Benjamini and Hochberg's step-up ov
 tokens of the corpus sets one threshold for the false-discovery rate ``fdr``. The step-up
 reads counts in bins of -log10(p), at most ``BINS`` rows, so its size doesn't grow.
 
-The texts are read twice, for the step-up and for the spans; nothing is written between.
+The texts are read twice, for the step-up and for the spans; between, the tested tokens' bits and
+p-values are written as a table, which goes once the threshold is known. Digits alone are no encoding: numbers,
+dates and ids are as even as a drawn token.
 
 Defined results: a null text is an empty one and has no spans; repeated rows each get
 their spans; an empty table gives an empty result; the input's columns are kept whatever
@@ -51,6 +53,9 @@ ENCODINGS = [
     ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("base26", r"^[a-z]+$", LOWER),
+    ("base26_upper", r"^[A-Z]+$", UPPER),
+    ("base52", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", UPPER + LOWER),
 ]
 FIT, FDR, BINS, SCALE = 0.001, 0.01, 400, 10
 #: Letters of English text per ten thousand, from a to z, and the shares of vowels after a vowel and after a consonant.

@@ -59,6 +59,15 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(20)) >= 18 and not any(got[100 + i] for i in range(len(words)))
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_tokens_of_letters_alone_are_found(spark, letters):
+    rng = random.Random(letters)
+    rows = [(i, f"see {''.join(rng.choices(letters, k=rng.choice([20, 24, 32, 40])))} here") for i in range(40)]
+    words = ["donaudampfschifffahrtsgesellschaft", "otorhinolaryngologischesinstitut", "someVeryLongCamelCaseIdentifierName", "ANOTHERVERYLONGCONSTANTNAME", "z" * 24, "xy" * 15]
+    got = {r["doc_id"]: len(r["spans"]) for r in secrets.annotate(docs(spark, rows + [(100 + i, w) for i, w in enumerate(words)])).collect()}
+    assert sum(got[i] > 0 for i in range(40)) >= 36 and not any(got[100 + i] for i in range(len(words)))
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = [(1, "a token=abcdef1 b"), (2, "clean"), (3, None), (4, "token=" + "0f" * 20 + " é AKIA" + "A" * 16)]
     assert {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()} == {1: "a [SECRET] b", 2: "clean", 3: None, 4: "[SECRET] é [SECRET]"}

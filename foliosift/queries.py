@@ -353,13 +353,20 @@ def human_list(spark, d):
     return per.select("source", text.listed("langs").alias("langs"))
 
 
-_REGISTRY = "registry(key, display_name, description, use_when) AS (VALUES " + ", ".join("(" + ", ".join(f"'{r[i]}'" for i in (0, 2, 3, 6)) + ")" for r in registry.DEFAULT) + ")"
+_INTERNAL = ["src0", "src1", "src2", "src3"]
+_REGISTRY = """held AS (SELECT source, count(*) AS n, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS kinds FROM documents WHERE source IS NOT NULL GROUP BY source),
+registry AS (SELECT CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'internal_' ELSE 'external_' END || source AS key, 'Source ' || source AS display_name, n || ' documents: ' || kinds AS description, 'questions in ' || kinds AS use_when FROM held)"""
 
 
 @query(f"""WITH {_REGISTRY} SELECT string_agg('<source id="' || key || '" name="' || display_name || '">' || chr(10) || '  ' || description || chr(10) || '  Use when: ' || use_when || chr(10) || '</source>',
 chr(10) ORDER BY starts_with(key, 'external_'), key) AS statement FROM registry""")
 def source_statement(spark, d):
-    return registry.statement(registry.registry(spark))
+    return registry.statement(registry.of_catalog(tables.catalog(spark, d), _INTERNAL))
+
+
+@query(f"WITH {_REGISTRY} SELECT key, CASE WHEN starts_with(key, 'external_') THEN 'external' ELSE 'internal' END AS tier, CASE WHEN starts_with(key, 'external_') THEN 1 ELSE 0 END AS tier_rank FROM registry")
+def registry_tiers(spark, d):
+    return registry.tiers(registry.of_catalog(tables.catalog(spark, d), _INTERNAL)).select("key", "tier", "tier_rank")
 
 
 # the other queries register themselves

@@ -113,11 +113,6 @@ def token_histogram_large(spark, d):
     return profile.histogram(rows, profile.LARGE)
 
 
-@query("SELECT key, CASE WHEN starts_with(key, 'external_') THEN 'external' ELSE 'internal' END AS tier, CASE WHEN starts_with(key, 'external_') THEN 1 ELSE 0 END AS tier_rank FROM (VALUES " + ", ".join(f"('{r[0]}')" for r in registry.DEFAULT) + ") AS t(key)")
-def registry_tiers(spark, d):
-    return registry.tiers(registry.registry(spark)).select("key", "tier", "tier_rank")
-
-
 _WORDS = ", ".join("('{}', [{}])".format(r[0], ", ".join(f"'{w}'" for w in sorted({w for i in (2, 3, 5, 6) for w in r[i].lower().replace("-", " ").replace(",", " ").split()}))) for r in registry.DEFAULT)
 
 

@@ -26,6 +26,18 @@ def registry(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     return spark.createDataFrame(DEFAULT if rows is None else rows, schemas.SOURCE)
 
 
+def of_catalog(catalog: DataFrame, internal: list[str]) -> DataFrame:
+    """A registry of the sources that a catalog has: what each holds is told from its counts. Those
+    named ``internal`` come before the others; a null source isn't registered."""
+    held = catalog.where("document_source IS NOT NULL").groupBy("document_source").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("document_type")).alias("kinds"))
+    kinds = F.array_join("kinds", ", ")
+    return held.select(
+        F.concat(F.when(F.col("document_source").isin(internal), "internal_").otherwise("external_"), F.col("document_source")).alias("key"), F.col("document_source").alias("source_value"),
+        F.concat(F.lit("Source "), "document_source").alias("display_name"), F.concat(F.col("n").cast("string"), F.lit(" documents: "), kinds).alias("description"), F.lit("ranked search").alias("query_type"),
+        F.lit("documents").alias("content_type"), F.concat(F.lit("questions in "), kinds).alias("use_when"), F.lit(True).alias("implemented"), F.lit(True).alias("two_phase"),
+    )
+
+
 def tiers(reg: DataFrame) -> DataFrame:
     """Adds ``tier`` (internal or external) and ``tier_rank``; any other prefix is internal."""
     tier = F.when(F.col("key").startswith("external_"), "external").otherwise("internal")

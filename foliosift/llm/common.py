@@ -74,19 +74,19 @@ def dropped(*dfs: DataFrame) -> None:
 
 
 def alone(build: Callable[[], DataFrame], name: str, before: DataFrame | None = None) -> DataFrame:
-    """The result of build() as a table; the tables it wrote on its way are deleted,
-    and so is ``before``, a table of ``cut`` that only build() read."""
-    token = _written.set([])
+    """The result of build() as a table; the tables it wrote on its way are deleted, also where it
+    fails, and so is ``before``, a table of ``cut`` that only build() read."""
+    token, out = _written.set([]), None
     try:
-        df = build()
-        made = list(_written.get())
-        out = cut(df, name)
+        out = cut(build(), name)
     finally:
+        made = [path for path in _written.get() if out is None or path != _folders[out]]
         _written.reset(token)
+        if made:
+            delete(SparkSession.active(), made)
     outer = _written.get()
     if outer is not None:
         outer.append(_folders[out])
-    delete(out.sparkSession, made)
     if before is not None:
         dropped(before)
     return out

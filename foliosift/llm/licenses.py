@@ -174,7 +174,7 @@ def _oracle() -> str:
     form = "trim(regexp_replace(" + form + r", '[^\p{L}\p{N}]+', ' ', 'g'))"
     for other, one in SPELLINGS:
         form = f"replace({form}, '{other}', '{one}')"
-    known = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in LICENSES)
+    known = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN)
     return f"""
 WITH known AS (SELECT DISTINCT license, {form.replace('{0}', 't')} AS form FROM (VALUES {known}) AS k(license, t)),
 units AS (

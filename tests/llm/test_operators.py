@@ -1,5 +1,6 @@
 """The ten operators on small fixtures: against brute force, SQL or a round trip, and on odd input."""
 
+import glob
 import hashlib
 import itertools
 import os
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliosift.llm import decontaminate, imagecopies, language, licenses, nearset, packing, registry, resharding, secrets, toxicity, urlfilters
+from foliosift.llm import common, decontaminate, imagecopies, language, licenses, nearset, packing, registry, resharding, secrets, toxicity, urlfilters
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, spans_of string, n long, u string, lang string"
@@ -22,6 +23,25 @@ def docs(spark, rows, schema="doc_id long, text string, size_ string, u long, su
     return spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema)
 
 
+def test_tables_go_with_their_result_and_with_a_failure(spark):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    seen = lambda: set(glob.glob(f"{folder}/foliosift-alone-*"))
+
+    def build(fail):
+        df = common.cut(common.cut(spark.range(3), "alone-one").where("id > 0"), "alone-two")
+        if fail:
+            raise OSError
+        return df
+
+    with pytest.raises(OSError):
+        common.alone(lambda: build(True), "alone-out")
+    assert not seen()
+    out = common.alone(lambda: build(False), "alone-out")
+    assert out.count() == 2 and len(seen()) == 1
+    common.dropped(out)
+    assert not seen()
+
+
 # 1 secrets
 
 

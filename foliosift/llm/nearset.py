@@ -45,6 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliosift.llm import wordpieces
 from foliosift.llm.common import alone, cut, dropped, table
 from foliosift.llm.components import components
 
@@ -244,6 +245,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 def _index(buckets: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordpieces.forget()
         shingle, keys, seen = Shingler(), Keys(buckets, Bands(most)), set()
         sets, ids, held, turn = [], [], 0, TaskContext.get().partitionId()
         for batch in batches:

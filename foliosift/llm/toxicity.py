@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from foliosift.llm import wordpieces
 from foliosift.llm.common import cut, dropped, table
 
 #: ASCII that isn't a letter separates words; what isn't ASCII belongs to them.
@@ -115,6 +116,7 @@ def _document_counts(shared) -> Callable:
     """Documents per term, summed up per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordpieces.forget()
         vectorize, n = Vectorizer(shared.value), Counter()
         for batch in batches:
             for text in batch.column(0):
@@ -236,6 +238,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def _score(shared, text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordpieces.forget()
         vocabulary, model = shared.value
         vectorize, known = Vectorizer(vocabulary), {}
         for batch in batches:

@@ -9,6 +9,7 @@ composition the library may see differently, goes to the library as it is.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
@@ -40,6 +41,13 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return _encoders[path]
 
 
+def forget() -> None:
+    """A worker is used again by whatever stage comes next; what was remembered for tokenizing goes then."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+
+
 def _with_memory(tokenizer) -> Callable[[list[str]], list[bytes]]:
     chunks: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}

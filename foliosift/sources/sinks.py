@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from foliosift.scratch import written
 
-#: Rows of a range that rows are numbered in.
-IN_RANGE = 1_000_000
+#: Rows, and bytes of text, of a range that rows are numbered in.
+IN_RANGE, BYTES = 1_000_000, 1 << 26
 
 
 def loaded(df: DataFrame, schema: StructType, *keys: str) -> DataFrame:
@@ -26,11 +26,13 @@ def shaped(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def numbered(df: DataFrame, *keys: str, after: int = 0, name: str = "id") -> DataFrame:
-    """Adds reproducible ids, by the keys. Rows are dealt by ranges of the keys, some ``IN_RANGE`` in
-    each, sorted there, and written with their place; a range's first id is the count of those before it. No
+    """Adds reproducible ids, by the keys. Rows are dealt by ranges of the keys, some ``IN_RANGE`` or
+    ``BYTES`` in each at most, sorted there, and written with their place; a range's first id is the count of those before it. No
     window spans rows of all ranges, and ranges grow in number, not in size."""
     order = [F.col(k).asc_nulls_last() for k in keys]
-    parts = -(-df.count() // IN_RANGE) or 1
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`").cast("long"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
+    parts = max(-(-rows // IN_RANGE), -(-size // BYTES), 1)
     place = F.monotonically_increasing_id()  # the partition, and the row in it
     rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", place), "numbered").withColumn("_part", F.shiftright("_at", 33).cast("int"))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range

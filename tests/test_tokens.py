@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tracemalloc
 
 import pytest
 
@@ -37,3 +38,14 @@ def test_a_full_memory_begins_anew(monkeypatch):
     merger = tokens.Merger(PATH)
     text = "one two three four five six seven eight nine ten " * 3
     assert merger.count(text) == tokens.Merger(PATH).count(text) and len(merger.known) <= 5
+
+
+def test_a_worker_holds_few_characters(monkeypatch):
+    """Long words fill the memory as many do, and a text isn't held as a list of its words."""
+    monkeypatch.setattr(tokens, "CHARS", 300, raising=False)
+    merger, text = tokens.Merger(PATH), " ".join(chr(97 + i % 26) * (60 + i % 30) for i in range(100))
+    assert merger.count(text) == tokens.Merger(PATH).count(text) > 100 and sum(map(len, merger.known)) < 300 + 100
+    tracemalloc.start()
+    merger.count("and so on " * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()

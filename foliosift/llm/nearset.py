@@ -53,7 +53,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Band growth; segments beyond H + 1 as a share of H; the largest subset whose pairs are all taken.
 GROWTH, SPARE, TEAM = 1.5, 0.4, 8
 #: Keys a bucket is planned for, keys a task packs at once, words and sets a task remembers.
-BUCKET, FLUSH, MEMORY = 1_000_000, 2_000_000, 200_000
+BUCKET, FLUSH, MEMORY = 1_000_000, 1_000_000, 200_000
 #: Sets of a block that is compared with another.
 TOGETHER = 512
 U = np.uint64
@@ -165,7 +165,7 @@ class Keys:
             mine = owner == e
             flag[mine] |= self._neighbourhoods(e, place - at[e], tokens, mixed, doc == e, total, count, at[e], int(-slack[e]), band[e], full[mine] - at[e])
         self.entries.append((ids, sizes, np.maximum(slack, 0), band, np.full(len(ids), native)))
-        self.keys.append((key, owner + self.n_entries, flag))
+        self.keys.append((key, (owner + self.n_entries).astype(np.int32), flag))
         self.n_entries += len(ids)
         self.n_keys += len(key)
 
@@ -184,7 +184,7 @@ class Keys:
         flags = 1 + 2 * np.isin(seg, full[allocated]).astype(np.uint8)
         if len(chosen) < short:  # no allocation suffices: such sets meet under one key
             keys, flags = np.append(keys, mix(np.array([band], U) + M3)), np.append(flags, np.uint8(0))
-        self.keys.append((keys, np.full(len(keys), self.n_entries + e), flags.astype(np.uint8)))
+        self.keys.append((keys, np.full(len(keys), self.n_entries + e, np.int32), flags.astype(np.uint8)))
         self.n_keys += len(keys)
         return np.where(allocated, 2, 0).astype(np.uint8)
 
@@ -207,8 +207,9 @@ class Keys:
     def _pack_keys(self, names: list, blobs: list) -> None:
         hi, size, slack, band, native = (np.concatenate(c) for c in zip(*self.entries))
         key, entry, flag = (np.concatenate(c) for c in zip(*self.keys))
-        bucket = ((key >> U(32)) * U(self.buckets) >> U(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        self.entries, self.keys = [], []  # what is put together isn't held twice
+        bucket = ((key >> U(32)) * U(self.buckets) >> U(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
         key, entry, flag, bucket = (key[order] & U(0xFFFFFFFF)).astype("<u4"), entry[order], flag[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for lo, up in zip([0, *cuts], [*cuts, len(key)]):

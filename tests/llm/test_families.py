@@ -55,3 +55,23 @@ def test_families_around_the_threshold(spark, monkeypatch, seed, copies, size, e
     want = brute_components([t for _, t in rows])
     assert [got[i] for i in range(copies)] == want
     assert 1 < len(set(want)) < copies
+
+
+def test_packing_keys_holds_them_once():
+    """What is put together for a row isn't held twice."""
+    import tracemalloc
+
+    import numpy as np
+
+    from foliosift.llm import nearset
+
+    rng = np.random.default_rng(1)
+    tracemalloc.start()
+    keys = nearset.Keys(28, nearset.Bands(1000))
+    while keys.n_keys < nearset.FLUSH:
+        sets = [np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64)) for _ in range(300)]
+        keys.add(sets, rng.integers(0, 1 << 60, 300))
+    keys.pack(0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000, most

@@ -1,9 +1,10 @@
 """Tokenizer ids of whole texts, with a bounded memory of words already seen.
 
 The vocabulary's pre-tokenizer never joins characters across white space, so a
-text's ids are those of its white-space chunks, one after the other. Chunks that
-hold only ASCII or Latin-1 letters, digits and ASCII punctuation are looked up by
-their lower-case pieces; any other chunk, and any text whose white space or
+text's ids are those of its white-space chunks, one after the other. Texts that
+hold only ASCII or Latin-1 letters, digits and ASCII punctuation are cut into
+lower-case pieces at once, and so are such chunks of other texts; the library's model
+merges each new piece. Any other chunk, and any text whose white space or
 composition the library may see differently, goes to the library as it is.
 """
 
@@ -13,6 +14,7 @@ import gc
 import os
 import re
 from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        _encoders[path] = _with_memory(Tokenizer.from_file(path))
+        _encoders[path] = _with_memory(Tokenizer.from_file(path), ByteLevel(add_prefix_space=False, use_regex=False))
     return _encoders[path]
 
 
@@ -50,19 +53,26 @@ def forget() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def _with_memory(tokenizer) -> Callable[[list[str]], list[bytes]]:
+def _with_memory(tokenizer, level) -> Callable[[list[str]], list[bytes]]:
     chunks: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
+    merged = tokenizer.model.tokenize
+    # the model sees a character as the byte level's signs for its UTF-8 bytes
+    signs = {n: level.pre_tokenize_str(chr(n))[0][0] for n in range(0x80, 0x100)}
 
     def library(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn_pieces(cut: list[list[str]]) -> None:
+        for p in set().union(*cut) - pieces.keys():
+            ids = [t.id for t in merged(p if p.isascii() else p.translate(signs))]
+            pieces[p] = pack(f"<{len(ids)}I", *ids)
+
     def learn(missing: list[str]) -> None:
         """Puts the ids of chunks into the memory."""
         plain = [c for c in missing if PLAIN.fullmatch(c) and SPECIAL not in c]
         cut = [PIECE.findall(c.lower()) for c in plain]
-        new = list({p for parts in cut for p in parts if p not in pieces})
-        pieces.update(zip(new, library(new)))
+        learn_pieces(cut)
         get = pieces.__getitem__
         chunks.update((c, b"".join(map(get, parts))) for c, parts in zip(plain, cut))
         rest = [c for c in missing if c not in chunks]
@@ -72,10 +82,15 @@ def _with_memory(tokenizer) -> Callable[[list[str]], list[bytes]]:
         for memory in (chunks, pieces):
             if len(memory) > MOST:
                 memory.clear()
-        split = [t.split() if PLAIN_TEXT.fullmatch(t) or not ODD.search(t) else None for t in texts]
+        plain = [PLAIN_TEXT.fullmatch(t) is not None and SPECIAL not in t for t in texts]
+        cut = [PIECE.findall(t.lower()) for t, p in zip(texts, plain) if p]
+        learn_pieces(cut)
+        get = pieces.__getitem__
+        whole = (b"".join(map(get, parts)) for parts in cut)
+        split = [None if p or (ODD.search(t) and not PLAIN_TEXT.fullmatch(t)) else t.split() for t, p in zip(texts, plain)]
         learn(list({c for parts in split if parts for c in parts if c not in chunks}))
-        get = chunks.__getitem__
-        return [library([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split)]
+        of_chunk = chunks.__getitem__
+        return [next(whole) if p else library([t])[0] if parts is None else b"".join(map(of_chunk, parts)) for t, p, parts in zip(texts, plain, split)]
 
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []

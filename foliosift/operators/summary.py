@@ -22,8 +22,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliosift.functions.arrays import changes, lists, spread
 from foliosift.operators import search
@@ -136,24 +138,27 @@ class Graph:
         return taken[by], rank[taken[by]]
 
 
-def _summarised(budget: int) -> Callable:
+def _summarised(budget: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            entries = np.array([x.as_py() or 0 for x in whole.column(4)])
-            low = 0
+            whole = whole.filter(pc.greater(pc.list_value_length(whole.column("sizes")), 0))
+            ends, low = np.cumsum(whole.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
             while low < whole.num_rows:
-                high = low + max(1, int(np.searchsorted(np.cumsum(entries[low:]), TOGETHER, side="right")))
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOGETHER, side="right")))
                 batch, low = whole.slice(low, high - low), high
-                sizes, at = lists(batch.column(1))
-                words, _ = lists(batch.column(2))
-                tokens, _ = lists(batch.column(3))
-                asked = [x.values.to_numpy() if x.is_valid else None for x in batch.column(5)]
+                sizes, at = lists(batch.column("sizes"))
+                words, _ = lists(batch.column("words"))
+                tokens, _ = lists(batch.column("tokens"))
+                asked = [x.values.to_numpy() if x.is_valid else None for x in batch.column("asked")]
                 graph = Graph(at, words, sizes)
                 taken, rank = graph.chosen(graph.ranks(graph.drawn(asked)), tokens.astype(np.int64), budget)
                 text = graph.text[taken]
-                ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32())
-                both = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((taken - at[text]).astype(np.int32), np.rint(1e6 * rank).astype(np.int64))]
-                yield pa.record_batch([batch.column(0), *both], names=["key", "taken", "ranks"])
+                places = np.searchsorted(text, np.arange(batch.num_rows + 1))
+                order = np.arange(len(taken)) - places[text] + 1  # when each was taken in its text
+                by = np.argsort(taken)  # a text's sentences in their order; texts stand one after another
+                kinds = schema.field("summary").type.value_type
+                entry = pa.StructArray.from_arrays([batch.column("texts").flatten().take(pa.array(taken[by])).cast(kinds[0].type), pa.array(order[by], pa.int64()), pa.array(np.rint(1e6 * rank[by]).astype(np.int64))], fields=list(kinds))
+                yield pa.record_batch([batch.column("key"), pa.ListArray.from_arrays(pa.array(places, pa.int32()), entry)], names=["key", "summary"])
 
     return run
 
@@ -173,16 +178,14 @@ def summarise(rows: DataFrame, key: list[str], *, column: str = "sentences", ask
     the key and ``summary``: the structs taken, in their order, with ``taken`` (from 1, in the order of
     choice) and ``rank`` (in millionths of the text's best). Rows without a sentence give none."""
     ship(rows.sparkSession)
+    # words are hashed once: sizes and the flat list come from the column, not from the text anew
     of_words = F.transform(column, lambda s: search.terms(s["sentence"]))
-    numbers = rows.where(F.size(column) > 0).select(
-        F.struct(*key, column).alias("key"), F.transform(of_words, F.size).alias("sizes"), F.flatten(of_words).alias("words"), F.transform(column, lambda s: tokens(s["sentence"])).alias("tokens"),
-        F.size(F.flatten(of_words)).cast("long").alias("entries"), (F.lit(None).cast("array<long>") if asked is None else asked).alias("asked"),
-    )
-    schema = numbers.select("key", F.lit(None).cast("array<int>").alias("taken"), F.lit(None).cast("array<long>").alias("ranks")).schema
-    found = numbers.mapInArrow(_summarised(budget), schema)
-    order = F.transform("taken", lambda t, i: F.struct(t.alias("place"), (i + 1).cast("long").alias("taken"), F.get("ranks", i).alias("rank")))
-    entry = lambda o: F.struct(F.get(f"key.{column}", o["place"]).alias("s"), o["taken"].alias("taken"), o["rank"].alias("rank"))
-    return found.select(*[F.col(f"key.{k}").alias(k) for k in key], F.transform(F.array_sort(order), entry).alias("summary"))
+    hashed = rows.select(F.struct(*key).alias("key"), F.col(column).alias("texts"), of_words.alias("of_words"), F.transform(column, lambda s: tokens(s["sentence"])).alias("tokens"), (F.lit(None).cast("array<long>") if asked is None else asked).alias("asked"))
+    numbers = hashed.select("key", "texts", F.transform("of_words", F.size).alias("sizes"), F.flatten("of_words").alias("words"), "tokens", "asked")
+    entry = F.struct(F.get("texts", F.lit(0)).alias("s"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("rank"))
+    schema = numbers.select("key", F.array(entry).alias("summary")).schema
+    # only the sentences taken come back; rows without a sentence go there, as a filter here would cut all texts twice
+    return numbers.mapInArrow(_summarised(budget, to_arrow_schema(schema)), schema).select("key.*", "summary")
 
 
 def of_documents(catalog: DataFrame, sections: DataFrame, *, budget: int = BUDGET) -> DataFrame:
